@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def load() -> tuple[dict, dict]:
-    from tidelog.catalog import assembly, logs, registry  # noqa: F401
+    from tidelog.catalog import assembly, features, logs, measures, registry, runs  # noqa: F401
 
     return registry.QUERIES, registry.ORACLE

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import prod
 
 from pyspark.sql import Column
@@ -65,5 +66,10 @@ def normalize(x: Column, mean: tuple[float, ...] = MEAN, std: tuple[float, ...]
     return F.transform(x, per_channel)
 
 
+def transform_batch(images: Column, fn: Callable[[Column], Column]) -> Column:
+    """Apply a vector function to every image of a batch array."""
+    return F.transform(images, lambda image: fn(image))
+
+
 def _standard(v: Column, mean: Column, std: Column) -> Column:
     return ((v.cast("float") - mean.cast("float")) / std.cast("float")).cast("float")

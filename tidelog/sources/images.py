@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ITU-R 601 luma weights for red, green, blue in 16-bit fixed point.
 LUMA = (19595, 38470, 7471)
@@ -22,7 +23,7 @@ def gray_bytes(data: bytes, channels: int) -> np.ndarray:
     return ((bgr[:, 2] * red + bgr[:, 1] * green + bgr[:, 0] * blue + LUMA_HALF) >> 16).astype(np.uint8)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def gray_pixels(data: pd.Series, channels: pd.Series) -> pd.Series:
     return pd.Series([gray_bytes(d, c).astype(np.int32) for d, c in zip(data, channels)])
 
