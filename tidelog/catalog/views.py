@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(ts: str) -> Column:
-    """Microseconds since the epoch of a time without zone, whatever the session's zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+    """Microseconds since the epoch; sessions run in UTC."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def message_rows(events: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Local binding inside column expressions."""
+"""Small building blocks for column expressions."""
 
 from __future__ import annotations
 
@@ -11,3 +11,9 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once per row and use it in `body`, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def idiv(a: Column | str, b: Column | int) -> Column:
+    """Whole-number division; exact for positions beyond the range of doubles."""
+    left = F.col(a) if isinstance(a, str) else a
+    return F.call_function("div", left, b if isinstance(b, Column) else F.lit(b))

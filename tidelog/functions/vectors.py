@@ -8,6 +8,8 @@ from math import prod
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidelog.functions.lets import idiv
+
 # Default normalization of gray digit images.
 MEAN = (0.1307,)
 STD = (0.3081,)
@@ -60,7 +62,7 @@ def normalize(x: Column, mean: tuple[float, ...] = MEAN, std: tuple[float, ...]
     stds = F.array(*[F.lit(s) for s in std])
 
     def per_channel(v: Column, i: Column) -> Column:
-        channel = F.floor(i / plane).cast("int")
+        channel = idiv(i, plane).cast("int")
         return _standard(v, F.get(means, channel), F.get(stds, channel))
 
     return F.transform(x, per_channel)

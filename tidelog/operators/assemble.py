@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.lets import idiv
 from tidelog.operators.ordered import chunk_bucket, digest, hash_bucket, with_position
 from tidelog.session import local_table
 
@@ -14,6 +15,10 @@ ROLES = {1: ("train",), 2: ("train", "test"), 3: ("train", "val", "test")}
 LOADERS = ("train", "val", "test")
 
 
+def _ceil_div(a: Column, b: Column) -> Column:
+    return idiv(a + b - 1, b)
+
+
 def role_of(split_idx: Column, n_splits: int) -> Column:
     """Role of a split by its number and how many there are."""
     if n_splits not in ROLES:
@@ -77,13 +82,13 @@ def shard(df: DataFrame, world_size: int, drop_last: Column) -> DataFrame:
     """
     w = F.lit(world_size)
     n = F.col("n_total")
-    size = F.when(drop_last, F.floor(n / w)).otherwise(F.ceil(n / w)).cast("bigint")
+    size = F.when(drop_last, idiv(n, w)).otherwise(_ceil_div(n, w))
     dealt = df.withColumn("shard_size", size).where(F.col("pos") < F.col("shard_size") * w)
     slots = F.sequence("pos", F.col("shard_size") * w - 1, n)
     return (
         dealt.withColumn("slot", F.explode(slots))
         .withColumn("shard", (F.col("slot") % w).cast("int"))
-        .withColumn("shard_pos", F.floor(F.col("slot") / w).cast("bigint"))
+        .withColumn("shard_pos", idiv("slot", w))
     )
 
 
@@ -92,10 +97,10 @@ def batch(
 ) -> DataFrame:
     """Add `batch_id` and `batch_pos`: consecutive groups along `pos`, the last one kept or dropped."""
     b = F.lit(batch_size)
-    grouped = df.withColumn("batch_id", F.floor(F.col(pos) / b).cast("bigint")).withColumn(
+    grouped = df.withColumn("batch_id", idiv(pos, b)).withColumn(
         "batch_pos", (F.col(pos) % b).cast("int")
     )
-    return grouped.where(F.col("batch_id") < F.floor(F.col(size) / b)) if drop_last else grouped
+    return grouped.where(F.col("batch_id") < idiv(size, b)) if drop_last else grouped
 
 
 def batch_arrays(batched: DataFrame, columns: list[str], keys: tuple[str, ...] = ("role", "shard")) -> DataFrame:
@@ -123,7 +128,7 @@ def epoch_table(
         return batch(shard(placed, world_size, drop_last=is_train), batch_size)
     single = shard(placed, 1, drop_last=F.lit(False))
     return batch(single, batch_size).where(
-        ~is_train | (F.col("batch_id") < F.floor(F.col("shard_size") / batch_size))
+        ~is_train | (F.col("batch_id") < idiv("shard_size", batch_size))
     )
 
 
@@ -135,18 +140,18 @@ def loader_stats(
     n, b = F.col("dataset_size"), F.lit(batch_size)
     drop_last = F.col("role") == "train"
     if world_size is None:
-        batches = F.when(drop_last, F.floor(n / b)).otherwise(F.ceil(n / b))
+        batches = F.when(drop_last, idiv(n, b)).otherwise(_ceil_div(n, b))
     else:
         w = F.lit(world_size)
-        per_worker = F.when(drop_last, F.floor(n / w)).otherwise(F.ceil(n / w))
-        batches = F.ceil(per_worker / b)
+        per_worker = F.when(drop_last, idiv(n, w)).otherwise(_ceil_div(n, w))
+        batches = _ceil_div(per_worker, b)
     names = local_table(df.sparkSession, [{"role": r} for r in roles], "role string")
     present = counts.select(
         "role",
         "dataset_size",
         b.alias("batch_size"),
-        batches.cast("bigint").alias("num_batches"),
-        (batches.cast("bigint") * b).alias("total_samples_per_epoch"),
+        batches.alias("num_batches"),
+        (batches * b).alias("total_samples_per_epoch"),
         drop_last.alias("drop_last"),
     )
     return names.join(present, "role", "left")
@@ -155,7 +160,7 @@ def loader_stats(
 def batch_info(df: DataFrame, batch_size: int, world_size: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Batches per rank and role, 0 where a rank has no loader for it."""
     counts = df.groupBy(*by, "rank", "role").agg(F.count(F.lit(1)).alias("n"))
-    batches = F.ceil(F.col("n") / per_worker_batch(batch_size, world_size)).cast("bigint")
+    batches = _ceil_div(F.col("n"), F.lit(per_worker_batch(batch_size, world_size)))
     return (
         counts.withColumn("batches", batches)
         .groupBy(*by, "rank")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions.lets import idiv
 from tidelog.session import local_table
 
 STEP = ("phase", "epoch", "name")
@@ -73,7 +74,7 @@ def history(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
 
 
 def _paged(df: DataFrame, keys: list[str]) -> DataFrame:
-    page = F.floor((F.col("epoch") - 1) / PAGE_EPOCHS).cast("int")
+    page = idiv(F.col("epoch") - 1, PAGE_EPOCHS).cast("int")
     values = F.transform(F.sort_array(F.collect_list(F.struct("epoch", "value"))), lambda s: s["value"])
     return df.groupBy(*keys, page.alias("page")).agg(values.alias("values"))
 

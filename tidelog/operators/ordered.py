@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions.lets import idiv
+
 # 16^4 buckets: about 15 million rows each at 10^12 rows.
 HASH_DIGITS = 4
 CHUNK_ROWS = 1_000_000
@@ -26,7 +28,7 @@ def hash_bucket(digest_col: str | Column, digits: int = HASH_DIGITS) -> Column:
 def chunk_bucket(position: str | Column, rows: int = CHUNK_ROWS) -> Column:
     """Bucket of a dense integer position."""
     col = F.col(position) if isinstance(position, str) else position
-    return F.floor(col / F.lit(rows)).cast("bigint")
+    return idiv(col, rows)
 
 
 def with_position(

@@ -1,7 +1,7 @@
 """Exact quantiles per group without holding a group's values in one task.
 
-A mergeable sketch brackets each wanted rank; one more pass counts the values outside the brackets and keeps only
-those inside, grouped by value. A rank that missed its bracket raises an error instead of giving a wrong value.
+A mergeable sketch brackets each wanted rank; one more pass counts the values outside the brackets and keeps only those
+inside, grouped by value. A rank that missed its bracket raises an error instead of giving a wrong value.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 1_000_000
+# Distance of a bracket's ends from its rank: 20 times the sketch's error, so the rank is inside.
 BRACKET = 2e-5
-# Groups up to this size are bracketed by their whole range.
+# Groups up to this size are bracketed by their whole range. Beyond it a bracket spans at least 10 ranks to each side.
 WHOLE_GROUP_ROWS = 500_000
 
 
@@ -28,14 +29,21 @@ def sketch_columns(value: Column, probs: list[float]) -> list[Column]:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], sketch: DataFrame
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    probs: list[float],
+    sketch: DataFrame,
+    whole_group_rows: int = WHOLE_GROUP_ROWS,
 ) -> DataFrame:
     """One row per group with `q` = array of linearly interpolated quantiles.
 
-    `sketch` holds `sketch_columns` per group and must have a checked number of rows: it is broadcast.
+    `sketch` holds `sketch_columns` per group as a small table (see `tidelog.session.small_table`), which the join broadcasts.
+    What is ordered per group are the distinct values inside the brackets, about one row in 8000 of a large group,
+    after a partial aggregate that folds equal values and everything between the brackets.
     """
     k = len(probs)
-    small = F.col("_n") <= WHOLE_GROUP_ROWS
+    small = F.col("_n") <= whole_group_rows
 
     def low(i: int) -> Column:
         return F.when(small, F.col("_min")).otherwise(F.col("_marks")[i])
@@ -44,7 +52,7 @@ def exact_quantiles(
         return F.when(small, F.col("_max")).otherwise(F.col("_marks")[k + i])
 
     v = F.col(value)
-    marked = df.where(v.isNotNull()).join(F.broadcast(sketch.select(*keys, "_n", "_min", "_max", "_marks")), keys)
+    marked = df.where(v.isNotNull()).join(sketch.select(*keys, "_n", "_min", "_max", "_marks"), keys)
     inside = F.lit(False)
     region = F.lit(0)
     for i in range(k):
@@ -55,29 +63,27 @@ def exact_quantiles(
         .groupBy(*keys, "_n", "_region", "_kept")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    totals = cells.groupBy(*keys, "_region").agg(F.sum("_c").alias("_rc"))
-    before = Window.partitionBy(*keys).orderBy("_region").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, "_region", F.coalesce(F.sum("_rc").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(*keys, "_region").orderBy("_kept")
-    ranked = (
-        cells.withColumn("_run", F.sum("_c").over(within))
-        .join(bases, [*keys, "_region"])
-        .withColumn("_upto", F.col("_base") + F.col("_run"))
+    in_order = (
+        Window.partitionBy(*keys)
+        .orderBy("_region", "_kept")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    ranked = cells.withColumn("_upto", F.sum("_c").over(in_order))
 
     def at(target: Column) -> Column:
         return F.min_by("_kept", F.when(F.col("_upto") > target, F.col("_upto")))
 
+    def rank_of(p: float) -> Column:
+        return (F.col("_n") - 1) * F.lit(p)
+
     picks = []
     for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(p)
-        picks += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}")]
+        picks += [at(F.floor(rank_of(p))).alias(f"_lo{i}"), at(F.ceil(rank_of(p))).alias(f"_hi{i}")]
     picked = ranked.groupBy(*keys, "_n").agg(*picks)
     missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
     quantiles = []
     for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(p)
         lo = F.coalesce(F.col(f"_lo{i}"), missed)
         hi = F.coalesce(F.col(f"_hi{i}"), missed)
-        quantiles.append(lo + (hi - lo) * (h - F.floor(h)))
+        quantiles.append(lo + (hi - lo) * (rank_of(p) - F.floor(rank_of(p))))
     return picked.select(*keys, F.array(*quantiles).alias("q"))

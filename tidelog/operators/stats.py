@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.quantiles import exact_quantiles, sketch_columns
-from tidelog.session import checked_rows, local_table
+from tidelog.session import checked_rows, local_table, small_table
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -45,6 +45,8 @@ def boxplot_stats(
         F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_dev"),
     ).where("_n > 0")
+    # At most one row per name: checked, and read from here on without another pass over the samples.
+    base, _ = small_table(base)
     quantiles = exact_quantiles(rows, [key], value, QUARTILES, base)
     q1, q3 = F.col("q")[0], F.col("q")[2]
     iqr = q3 - q1
@@ -70,12 +72,12 @@ def outliers(
 ) -> DataFrame:
     """Every sample strictly outside its experiment's fences, with the `side`; one row each, none left out.
 
-    `stats` has one row per named experiment and broadcasts.
+    `stats` has at most one row per named experiment; its size is checked and it joins as a local relation.
     """
-    fences = stats.select(key, "lower_fence", "upper_fence")
+    fences, _ = small_table(stats.select(key, "lower_fence", "upper_fence"))
     side = F.when(F.col(value) < F.col("lower_fence"), "lower").when(F.col(value) > F.col("upper_fence"), "upper")
     return (
-        df.join(F.broadcast(fences), key)
+        df.join(fences, key)
         .withColumn("side", side)
         .where(F.col("side").isNotNull())
         .drop("lower_fence", "upper_fence")
@@ -91,7 +93,7 @@ def analyze(
     shown: int = 5,
 ) -> DataFrame:
     """Statistics for every name, null for an empty one, with outlier counts and the first few outliers for display."""
-    stats = boxplot_stats(df, names, key, value)
+    stats, _ = small_table(boxplot_stats(df, names, key, value))
     found = outliers(_named(df, names, key), stats, key, value)
     counts = found.groupBy(key).agg(
         F.count_if(F.col("side") == "lower").alias("n_lower"),

@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.lets import idiv
 from tidelog.operators.assemble import LOADERS, per_worker_batch, role_of
 from tidelog.operators.ordered import with_previous
 from tidelog.operators.quantiles import exact_quantiles, sketch_columns
 from tidelog.operators.stats import name_table
 from tidelog.plans.splits import normalize_splits
 from tidelog.schemas import Payload
-from tidelog.session import checked_rows, local_table
+from tidelog.session import checked_rows, local_table, small_table
 from tidelog.sources.decode import decode
 from tidelog.sources.log import read_ranges
 
@@ -28,7 +29,7 @@ def _with_previous_event(events: DataFrame, slice_micros: int) -> DataFrame:
         events,
         ["name"],
         ["ts_us", "seq"],
-        F.floor(F.col("ts_us") / F.lit(slice_micros)).cast("bigint"),
+        idiv("ts_us", slice_micros),
         ["kind", "ts_us"],
     )
 
@@ -104,7 +105,7 @@ def batch_timing(df: DataFrame, names: list[str], max_batches: int | None = None
         kept = kept.where(F.col("batch_id") < max_batches)
     v = F.col("seconds")
     base = kept.groupBy("experiment").agg(*sketch_columns(v, [0.5]), F.sum(v).alias("total"), F.avg(v).alias("mean"))
-    base = base.where("_n > 0")
+    base, _ = small_table(base.where("_n > 0"))
     medians = exact_quantiles(kept, ["experiment"], "seconds", [0.5], base)
     stats = base.join(medians, "experiment")
     zero = F.lit(0.0)

@@ -16,6 +16,7 @@ from pyspark.storagelevel import StorageLevel
 
 from tidelog.functions.scores import accuracy, argmax_class, cross_entropy
 from tidelog.functions.vectors import reshape_chw
+from tidelog.operators.assemble import LOADERS
 from tidelog.session import local_table
 
 
@@ -109,7 +110,8 @@ def train(
         "role", array_to_vector(F.col("x").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label")
     ).persist(StorageLevel.MEMORY_AND_DISK)
     spark = samples.sparkSession
-    roles = {r["role"] for r in vectors.select("role").distinct().collect()}
+    found = vectors.where(F.col("role").isin(*LOADERS)).select("role").distinct()
+    roles = {r["role"] for r in found.collect()}
     learner = MultilayerPerceptronClassifier(
         layers=layers, maxIter=steps_per_epoch, seed=seed, featuresCol="features", labelCol="label"
     )

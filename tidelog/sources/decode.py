@@ -25,16 +25,22 @@ def decode_json(df: DataFrame, payload: Payload, value: str = "value") -> DataFr
             T.StructField(payload.label_field, JSON_SAMPLE["y"].dataType),
         ]
     )
-    with_corrupt = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = F.from_json(
-        F.col(value).cast("string"), with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    # The body is parsed as the one element of an array: a bare parse would stop at the end of the first object and
+    # accept whatever follows it.
+    wrapped = T.StructType(
+        [T.StructField("body", T.ArrayType(fields)), T.StructField(CORRUPT, T.StringType())]
     )
+    text = F.concat(F.lit('{"body":['), F.col(value).cast("string"), F.lit("]}"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
+    body = F.get("_parsed.body", F.lit(0))
+    whole = F.col(f"_parsed.{CORRUPT}").isNull() & (F.size("_parsed.body") == 1) & body.isNotNull()
     return (
-        df.withColumn("_parsed", parsed)
-        .withColumn("x", _apply(payload.transform_data, F.col(f"_parsed.{payload.data_field}")))
-        .withColumn("y", _apply(payload.transform_label, F.col(f"_parsed.{payload.label_field}")))
-        .withColumn("is_bad", F.col(f"_parsed.{CORRUPT}").isNotNull() | F.col("_parsed").isNull())
-        .drop("_parsed", value)
+        df.withColumn("_parsed", F.from_json(text, wrapped, options))
+        .withColumn("is_bad", ~F.coalesce(whole, F.lit(False)))
+        .withColumn("_body", F.when(~F.col("is_bad"), body))
+        .withColumn("x", _apply(payload.transform_data, F.col(f"_body.{payload.data_field}")))
+        .withColumn("y", _apply(payload.transform_label, F.col(f"_body.{payload.label_field}")))
+        .drop("_parsed", "_body", value)
     )
 
 
