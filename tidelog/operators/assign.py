@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.ordered import chunk_bucket, digest, with_position
 from tidelog.plans.splits import normalize_splits
+from tidelog.session import small_table
 
 # Rows emitted per array when a count is expanded into rows.
 EXPAND_CHUNK = 65_536
@@ -62,16 +63,15 @@ def bootstrap_fillup(samples: DataFrame, plan: DataFrame, splits, seed: int = 0)
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("deficit", F.col("target") - F.col("n"))
         .where("deficit > 0")
-        .withColumn(
-            "n",
-            F.when(F.col("n") > 0, F.col("n")).otherwise(
-                F.raise_error(
-                    F.concat(F.lit("no rows to draw from in partition "), F.col("partition").cast("string"))
-                ).cast("bigint")
-            ),
-        )
         .select("partition", "n", "deficit")
     )
+    # At most one row per log partition.
+    missing, rows = small_table(missing)
+    empty = [r["partition"] for r in rows or [] if r["n"] == 0]
+    if empty:
+        raise ValueError(f"no rows to draw from in partitions {empty}")
+    if rows == []:
+        return samples.withColumn("copy", F.lit(0).cast("bigint"))
     draws = expand(missing, F.lit(1).cast("bigint"), F.col("deficit"), "i", spread=True)
     extra = (
         draws.withColumn("_index", draw_index(seed, F.col("partition"), F.col("i"), F.col("n")))
