@@ -1,5 +1,8 @@
 """Streams over several micro-batches against the batch operators."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +19,15 @@ from tidelog.streaming.windows import windowed_metrics
 PARTS = 3
 
 
+def append_file(df, folder, position):
+    """One more file of a stream, with a modification time that fixes its place in the order of arrival."""
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    df.coalesce(1).write.mode("append").parquet(folder)
+    stamp = time.time() - 3600 + 60 * position
+    for name in set(os.listdir(folder)) - before:
+        os.utime(os.path.join(folder, name), (stamp, stamp))
+
+
 @pytest.fixture(scope="module")
 def parts(spark, sf_dir, tmp_path_factory):
     """The events as several files, in time order."""
@@ -24,7 +36,7 @@ def parts(spark, sf_dir, tmp_path_factory):
     n = events.count()
     for i in range(PARTS):
         piece = events.where(F.col("event_id").between(i * n // PARTS, (i + 1) * n // PARTS - 1))
-        piece.coalesce(1).write.mode("append").parquet(str(folder))
+        append_file(piece, str(folder), i)
     return str(folder), events.schema
 
 
@@ -56,10 +68,9 @@ def test_ingest_equals_batch(spark, sf_dir, parts):
     )
 
 
-@pytest.mark.parametrize("ttl_ms", [None, 3_600_000])
-def test_timers_equal_batch(spark, sf_dir, parts, ttl_ms):
+def test_timers_equal_batch(spark, sf_dir, parts):
     use_rocksdb(spark)
-    got, batches = drain(spark, pair_timers_online(v.timer_rows(stream(spark, parts)), ttl_ms))
+    got, batches = drain(spark, pair_timers_online(v.timer_rows(stream(spark, parts))))
     assert batches == PARTS
     want = pair_timers(v.timer_events(spark, sf_dir))[0].select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -81,9 +92,9 @@ def test_closed_windows_equal_batch(spark, sf_dir, parts):
 def test_late_rows_are_dropped(spark, tmp_path):
     folder = str(tmp_path / "late")
     schema = "ts timestamp, name string, value double"
-    for day in ("2024-01-01", "2024-01-05", "2024-01-01", "2024-01-09"):
+    for i, day in enumerate(("2024-01-01", "2024-01-05", "2024-01-01", "2024-01-09")):
         row = spark.sql(f"SELECT timestamp'{day} 10:00:00' AS ts, 'm' AS name, 1.0D AS value")
-        row.coalesce(1).write.mode("append").parquet(folder)
+        append_file(row, folder, i)
     got, _ = drain(spark, windowed_metrics(stream_parquet(spark, folder, schema, files_per_trigger=1), "1 day"))
     counts = {str(r["window_start"])[:10]: r["n"] for r in got.collect()}
     assert counts == {"2024-01-01": 1, "2024-01-05": 1}

@@ -55,7 +55,11 @@ class TimerPairs(StatefulProcessor):
 
 
 def pair_timers_online(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming form of timer pairing. The session must use the RocksDB state store; see `use_rocksdb`."""
+    """Streaming form of timer pairing. The session must use the RocksDB state store; see `use_rocksdb`.
+
+    `ttl_ms` drops starts that never end. It puts the operator in processing-time mode, in which Spark schedules empty
+    batches for as long as the query runs: use it with a periodic trigger, since an `availableNow` run would not finish.
+    """
     name_type = events.schema["name"].dataType
     out = T.StructType(
         [
