@@ -281,8 +281,8 @@ def sample_bodies(spark, sf_dir):
 
 DECODED_SQL = """
     SELECT vec_id AS "offset",
-           list_sum(list_transform(embedding, lambda e: CAST(round(CAST(e AS DOUBLE) * 1000000) AS BIGINT))) AS x_sum_e6,
-           len(embedding) AS width, label AS y, {bad} AS is_bad FROM embeddings"""
+           CAST(list_sum(list_transform(embedding, lambda e: CAST(round(CAST(e AS DOUBLE) * 1000000) AS BIGINT))) AS BIGINT) AS x_sum_e6,
+           CAST(len(embedding) AS INTEGER) AS width, label AS y, {bad} AS is_bad FROM embeddings"""
 AVRO = {"data_field": "data", "label_field": "label"}
 
 

@@ -1,89 +1,166 @@
 """Exact quantiles per group without holding a group's values in one task.
 
-A mergeable sketch brackets each wanted rank; one more pass counts the values outside the brackets and keeps only those
-inside, grouped by value. A rank that missed its bracket raises an error instead of giving a wrong value.
+Each wanted rank has a bracket of values, at first the group's whole range. While a bracket holds too many rows, a histogram
+pass (counts per bin, combined before the shuffle) finds the bin with the rank, which becomes the new bracket. The
+last pass orders only what is left in the brackets. The driver keeps a few numbers per group and rank.
 """
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidelog.session import local_table, small_table
 
-SKETCH_ACCURACY = 1_000_000
-# Distance of a bracket's ends from its rank: 20 times the sketch's error, so the rank is inside.
-BRACKET = 2e-5
-# Groups up to this size are bracketed by their whole range. Beyond it a bracket spans at least 10 ranks to each side.
-WHOLE_GROUP_ROWS = 500_000
+# Rows a bracket may hold before its values are ordered in one window.
+BRACKET_ROWS = 1_000_000
+BINS = 4096
 
 
-def sketch_columns(value: Column, probs: list[float]) -> list[Column]:
+def range_columns(value: Column) -> list[Column]:
     """Aggregates for the first pass, to be combined with any others over the same groups."""
-    lows = [max(0.0, p - BRACKET) for p in probs]
-    highs = [min(1.0, p + BRACKET) for p in probs]
-    return [
-        F.count(value).alias("_n"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        F.percentile_approx(value, [*lows, *highs], SKETCH_ACCURACY).alias("_marks"),
-    ]
+    return [F.count(value).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max")]
+
+
+def _bracket_rows(df: DataFrame, key: str, value: str, brackets: dict) -> DataFrame:
+    """Every row once per bracket of its group that holds its value."""
+    schema = T.StructType(
+        [
+            df.schema[key],
+            T.StructField(
+                "_brackets",
+                T.ArrayType(
+                    T.StructType(
+                        [
+                            T.StructField("b", T.IntegerType()),
+                            T.StructField("lo", T.DoubleType()),
+                            T.StructField("hi", T.DoubleType()),
+                            T.StructField("below", T.LongType()),
+                        ]
+                    )
+                ),
+            ),
+        ]
+    )
+    by_group: dict = {}
+    for (group, b), (lo, hi, below) in brackets.items():
+        by_group.setdefault(group, []).append({"b": b, "lo": lo, "hi": hi, "below": below})
+    marks = local_table(df.sparkSession, [{key: g, "_brackets": m} for g, m in by_group.items()], schema)
+    v = F.col(value).cast("double")
+    held = F.filter("_brackets", lambda m: (v >= m["lo"]) & (v <= m["hi"]))
+    return df.select(key, value).join(marks, key).select(key, v.alias("_v"), F.explode(held).alias("_m"))
+
+
+def _narrow(df: DataFrame, key: str, value: str, brackets: dict, targets: list[dict], bins: int) -> None:
+    """Move the given targets to the histogram bin that holds their rank."""
+    lo, hi = F.col("_m.lo") * 0.5, F.col("_m.hi") * 0.5
+    place = F.floor((F.col("_v") * 0.5 - lo) / (hi - lo) * bins)
+    rows = _bracket_rows(df, key, value, brackets)
+    binned = rows.groupBy(key, F.col("_m.b").alias("b"), F.col("_m.below").alias("below"), place.alias("_bin")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
+    )
+    before = Window.partitionBy(key, "b").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = binned.withColumn("below", F.col("below") + F.coalesce(F.sum("c").over(before), F.lit(0)))
+    wanted = local_table(
+        df.sparkSession,
+        [{key: t["group"], "b": t["b"], "rank": t["rank"]} for t in targets],
+        T.StructType([df.schema[key], T.StructField("b", T.IntegerType()), T.StructField("rank", T.LongType())]),
+    ).distinct()
+    holds = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("c"))
+    found = placed.join(wanted, [key, "b"]).where(holds).select(key, "b", "rank", "lo", "hi", "below", "c")
+    at = {(r[key], r["b"], r["rank"]): r for r in found.collect()}
+    for t in targets:
+        r = at[t["group"], t["b"], t["rank"]]
+        t.update(lo=r["lo"], hi=r["hi"], below=r["below"], rows=r["c"])
+
+
+def _number(targets: list[dict]) -> dict:
+    """Brackets by (group, number); targets with the same bounds share one."""
+    seen: dict = {}
+    for t in targets:
+        bounds = (t["lo"], t["hi"], t["below"])
+        numbers = seen.setdefault(t["group"], {})
+        t["b"] = numbers.setdefault(bounds, len(numbers))
+    return {(g, b): bounds for g, numbers in seen.items() for bounds, b in numbers.items()}
 
 
 def exact_quantiles(
     df: DataFrame,
-    keys: list[str],
+    key: str,
     value: str,
     probs: list[float],
-    sketch: DataFrame,
-    whole_group_rows: int = WHOLE_GROUP_ROWS,
+    ranges: DataFrame,
+    bracket_rows: int = BRACKET_ROWS,
+    bins: int = BINS,
 ) -> DataFrame:
     """One row per group with `q` = array of linearly interpolated quantiles.
 
-    `sketch` holds `sketch_columns` per group as a small table (see `tidelog.session.small_table`), which the join broadcasts.
-    What is ordered per group are the distinct values inside the brackets, about one row in 8000 of a large group,
-    after a partial aggregate that folds equal values and everything between the brackets.
+    `ranges` holds `range_columns` per group; its size is checked.
     """
-    k = len(probs)
-    small = F.col("_n") <= whole_group_rows
-
-    def low(i: int) -> Column:
-        return F.when(small, F.col("_min")).otherwise(F.col("_marks")[i])
-
-    def high(i: int) -> Column:
-        return F.when(small, F.col("_max")).otherwise(F.col("_marks")[k + i])
-
-    v = F.col(value)
-    marked = df.where(v.isNotNull()).join(sketch.select(*keys, "_n", "_min", "_max", "_marks"), keys)
-    inside = F.lit(False)
-    region = F.lit(0)
-    for i in range(k):
-        inside = inside | ((v >= low(i)) & (v <= high(i)))
-        region = region + (v >= low(i)).cast("int") + (v > high(i)).cast("int")
-    cells = (
-        marked.select(*keys, "_n", region.alias("_region"), F.when(inside, v).alias("_kept"))
-        .groupBy(*keys, "_n", "_region", "_kept")
-        .agg(F.count(F.lit(1)).alias("_c"))
+    _, groups = small_table(ranges.select(key, "_n", "_min", "_max").where("_n > 0"))
+    if groups is None:
+        raise ValueError("too many groups for exact quantiles")
+    targets = []
+    for g in groups:
+        for i, p in enumerate(probs):
+            h = (g["_n"] - 1) * p
+            for end, rank in (("lo", floor(h)), ("hi", ceil(h))):
+                targets.append(
+                    {
+                        "group": g[key],
+                        "slot": 2 * i + (end == "hi"),
+                        "rank": rank,
+                        "lo": float(g["_min"]),
+                        "hi": float(g["_max"]),
+                        "below": 0,
+                        "rows": g["_n"],
+                    }
+                )
+    # A pass divides a bracket's range by the number of bins, so this ends; equal values need no ordering.
+    while True:
+        brackets = _number(targets)
+        wide = [t for t in targets if t["rows"] > bracket_rows and t["lo"] < t["hi"]]
+        if not wide:
+            break
+        used = {(t["group"], t["b"]) for t in wide}
+        _narrow(df, key, value, {k: m for k, m in brackets.items() if k in used}, wide, bins)
+    spark = df.sparkSession
+    rows = _bracket_rows(df, key, value, brackets)
+    counted = rows.groupBy(key, F.col("_m.b").alias("b"), F.col("_m.below").alias("below"), "_v").agg(
+        F.count(F.lit(1)).alias("c")
     )
-    in_order = (
-        Window.partitionBy(*keys)
-        .orderBy("_region", "_kept")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = Window.partitionBy(key, "b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("upto", F.col("below") + F.sum("c").over(in_order))
+    wanted = local_table(
+        spark,
+        [{key: t["group"], "b": t["b"], "slot": t["slot"], "rank": t["rank"]} for t in targets],
+        T.StructType(
+            [
+                df.schema[key],
+                T.StructField("b", T.IntegerType()),
+                T.StructField("slot", T.IntegerType()),
+                T.StructField("rank", T.LongType()),
+            ]
+        ),
+    )
+    hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c"))
+    picked = (
+        ranked.join(wanted, [key, "b"])
+        .where(hit)
+        .groupBy(key)
+        .agg(*[F.max(F.when(F.col("slot") == s, F.col("_v"))).alias(f"s{s}") for s in range(2 * len(probs))])
+    )
+    sizes = local_table(
+        spark,
+        [{key: g[key], "_n": g["_n"]} for g in groups],
+        T.StructType([df.schema[key], T.StructField("_n", T.LongType())]),
     )
-    ranked = cells.withColumn("_upto", F.sum("_c").over(in_order))
-
-    def at(target: Column) -> Column:
-        return F.min_by("_kept", F.when(F.col("_upto") > target, F.col("_upto")))
-
-    def rank_of(p: float) -> Column:
-        return (F.col("_n") - 1) * F.lit(p)
-
-    picks = []
-    for i, p in enumerate(probs):
-        picks += [at(F.floor(rank_of(p))).alias(f"_lo{i}"), at(F.ceil(rank_of(p))).alias(f"_hi{i}")]
-    picked = ranked.groupBy(*keys, "_n").agg(*picks)
-    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
     quantiles = []
     for i, p in enumerate(probs):
-        lo = F.coalesce(F.col(f"_lo{i}"), missed)
-        hi = F.coalesce(F.col(f"_hi{i}"), missed)
-        quantiles.append(lo + (hi - lo) * (rank_of(p) - F.floor(rank_of(p))))
-    return picked.select(*keys, F.array(*quantiles).alias("q"))
+        h = (F.col("_n") - 1) * F.lit(p)
+        lo, hi = F.col(f"s{2 * i}"), F.col(f"s{2 * i + 1}")
+        quantiles.append(lo + (hi - lo) * (h - F.floor(h)))
+    return picked.join(sizes, key).select(key, F.array(*quantiles).alias("q"))

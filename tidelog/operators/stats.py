@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.quantiles import exact_quantiles, sketch_columns
+from tidelog.operators.quantiles import exact_quantiles, range_columns
 from tidelog.session import checked_rows, local_table, small_table
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -40,14 +40,14 @@ def boxplot_stats(
     rows = _named(df, names, key)
     v = F.col(value)
     base = rows.groupBy(key).agg(
-        *sketch_columns(v, QUARTILES),
+        *range_columns(v),
         F.avg(v).alias("mean"),
         F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_dev"),
     ).where("_n > 0")
     # At most one row per name: checked, and read from here on without another pass over the samples.
     base, _ = small_table(base)
-    quantiles = exact_quantiles(rows, [key], value, QUARTILES, base)
+    quantiles = exact_quantiles(rows, key, value, QUARTILES, base)
     q1, q3 = F.col("q")[0], F.col("q")[2]
     iqr = q3 - q1
     return base.join(quantiles, key).select(

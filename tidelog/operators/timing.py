@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.lets import idiv
 from tidelog.operators.assemble import LOADERS, per_worker_batch, role_of
 from tidelog.operators.ordered import with_previous
-from tidelog.operators.quantiles import exact_quantiles, sketch_columns
+from tidelog.operators.quantiles import exact_quantiles, range_columns
 from tidelog.operators.stats import name_table
 from tidelog.plans.splits import normalize_splits
 from tidelog.schemas import Payload
@@ -104,9 +104,9 @@ def batch_timing(df: DataFrame, names: list[str], max_batches: int | None = None
     if max_batches:
         kept = kept.where(F.col("batch_id") < max_batches)
     v = F.col("seconds")
-    base = kept.groupBy("experiment").agg(*sketch_columns(v, [0.5]), F.sum(v).alias("total"), F.avg(v).alias("mean"))
+    base = kept.groupBy("experiment").agg(*range_columns(v), F.sum(v).alias("total"), F.avg(v).alias("mean"))
     base, _ = small_table(base.where("_n > 0"))
-    medians = exact_quantiles(kept, ["experiment"], "seconds", [0.5], base)
+    medians = exact_quantiles(kept, "experiment", "seconds", [0.5], base)
     stats = base.join(medians, "experiment")
     zero = F.lit(0.0)
     return (
