@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.ordered import chunk_bucket, digest, with_position
@@ -55,10 +55,9 @@ def bootstrap_fillup(samples: DataFrame, plan: DataFrame, splits, seed: int = 0)
     own = samples.where(F.col("split_idx") == last)
     sizes = own.groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
     ranges = plan.where(F.col("split_idx") == last)
-    widest = ranges.agg((F.max(F.col("end_offset") - F.col("start_offset")) + 1).alias("target"))
+    width = F.col("end_offset") - F.col("start_offset")
     missing = (
-        ranges.select("partition", F.lit(1).alias("_one"))
-        .join(widest.withColumn("_one", F.lit(1)), "_one")
+        ranges.select("partition", (F.max(width).over(Window.partitionBy("split_idx")) + 1).alias("target"))
         .join(sizes, "partition", "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("deficit", F.col("target") - F.col("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.lets import idiv
-from tidelog.session import local_table
+from tidelog.session import checked_rows, local_table
 
 STEP = ("phase", "epoch", "name")
 SERIES = ("phase", "name")
@@ -70,13 +70,13 @@ def latest(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
 
 def history(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """Values in epoch order, in pages of bounded length; `page` 0 starts at epoch 1."""
-    return _paged(df, [*keys]).orderBy(*keys, "page")
+    return _paged(df, [*keys]).drop("_last").orderBy(*keys, "page")
 
 
 def _paged(df: DataFrame, keys: list[str]) -> DataFrame:
     page = idiv(F.col("epoch") - 1, PAGE_EPOCHS).cast("int")
     values = F.transform(F.sort_array(F.collect_list(F.struct("epoch", "value"))), lambda s: s["value"])
-    return df.groupBy(*keys, page.alias("page")).agg(values.alias("values"))
+    return df.groupBy(*keys, page.alias("page")).agg(values.alias("values"), F.max("epoch").alias("_last"))
 
 
 def average_of_last(
@@ -131,20 +131,27 @@ def summary(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
 def snapshot(df: DataFrame, epoch_times: DataFrame | None = None) -> DataFrame:
     """The whole history as nested maps phase -> name -> values, one record per page of epochs.
 
-    With `epoch_times` (one row of totals), its columns are added to every record.
+    With `epoch_times` (one row of totals), its values are added to every record.
     """
     series = _paged(df, ["phase", "name"])
     phases = series.groupBy("page", "phase").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "values")))).alias("names")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "values")))).alias("names"),
+        F.max("_last").alias("_last"),
     )
     records = phases.groupBy("page").agg(
-        F.map_from_entries(F.collect_list(F.struct("phase", "names"))).alias("metrics_history")
+        F.map_from_entries(F.collect_list(F.struct("phase", "names"))).alias("metrics_history"),
+        F.max("_last").alias("_last"),
     )
-    current = df.agg(F.max("epoch").alias("current_epoch")).withColumn("_one", F.lit(1))
-    records = records.withColumn("_one", F.lit(1)).join(current, "_one")
+    # One row per page: the newest page's last epoch is the current one.
+    newest = F.max("_last").over(Window.partitionBy(F.lit(0)))
+    records = records.withColumn("current_epoch", newest).drop("_last")
     if epoch_times is not None:
-        records = records.join(epoch_times.withColumn("_one", F.lit(1)), "_one", "left")
-    return records.drop("_one")
+        rows = checked_rows(epoch_times, 1)
+        if not rows:
+            raise ValueError("epoch times must be one row of totals")
+        for name in epoch_times.columns:
+            records = records.withColumn(name, F.lit(rows[0][name]))
+    return records
 
 
 def curves(df: DataFrame, batch_sizes: list[int]) -> DataFrame:

@@ -177,9 +177,12 @@ def offset_distribution(offsets: DataFrame, world_size: int) -> DataFrame:
 
 def partition_worker_check(log: DataFrame, strings: DataFrame, world_size: int) -> DataFrame:
     """One-row verdict: log partitions and offset strings both number `world_size`."""
-    found = log.agg(F.countDistinct("partition").alias("n_partitions")).withColumn("_one", F.lit(1))
-    given = strings.agg(F.count(F.lit(1)).alias("n_offset_strings")).withColumn("_one", F.lit(1))
-    return found.join(given, "_one").select(
+    found = log.agg(F.countDistinct("partition").alias("n_partitions"))
+    given = strings.agg(F.count(F.lit(1)).alias("n_offset_strings"))
+    both = found.unionByName(given, allowMissingColumns=True)
+    return both.agg(
+        F.max("n_partitions").alias("n_partitions"), F.max("n_offset_strings").alias("n_offset_strings")
+    ).select(
         "n_partitions",
         "n_offset_strings",
         F.lit(world_size).alias("world_size"),

@@ -34,8 +34,9 @@ def decode_json(df: DataFrame, payload: Payload, value: str = "value") -> DataFr
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
     body = F.get("_parsed.body", F.lit(0))
     whole = F.col(f"_parsed.{CORRUPT}").isNull() & (F.size("_parsed.body") == 1) & body.isNotNull()
+    # Parsing goes through a generator: a filter on its result would otherwise move below it and parse every body again.
     return (
-        df.withColumn("_parsed", F.from_json(text, wrapped, options))
+        df.withColumn("_parsed", F.explode(F.array(F.from_json(text, wrapped, options))))
         .withColumn("is_bad", ~F.coalesce(whole, F.lit(False)))
         .withColumn("_body", F.when(~F.col("is_bad"), body))
         .withColumn("x", _apply(payload.transform_data, F.col(f"_body.{payload.data_field}")))
