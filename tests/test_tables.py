@@ -79,6 +79,20 @@ def test_save_and_overwrite(spark, log, tmp_path):
     assert any("params" not in s for s in schemas)
 
 
+def test_retained_snapshot(spark, log, tmp_path):
+    path = str(tmp_path / "snapshot")
+    assert ckpt.write_retained(log, path, 3) == 2
+    assert sorted(r["offset"] for r in spark.read.parquet(path).collect()) == [1, 2, 4]
+
+
+def test_describe_lists_extras(spark):
+    schema = CKPT + ", extra map<string, string>"
+    row = {"unique_key": "k", "epoch": 1, "saved_at": 1, "offset": 1, "params": [("w", [1.0])]}
+    rows = [{**row, "extra": [("lr", "0.1")]}, {**row, "extra": None}]
+    got = [r["keys"] for r in ckpt.describe(local_table(spark, rows, schema)).collect()]
+    assert got == [["model", "unique_key", "epoch", "lr"], ["model", "unique_key", "epoch"]]
+
+
 def test_describe(log):
     row = ckpt.describe(log).first()
     assert (row["param_names"], row["model_parameters"], row["param_bytes"]) == (["w"], 3, 12)

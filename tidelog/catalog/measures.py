@@ -563,10 +563,11 @@ def ckpt_removed(spark, sf_dir):
 @query(
     "ckpt_describe",
     with_views(
-        """SELECT unique_key, epoch, saved_at, "offset", 'b,w' AS param_names, 1 + epoch AS model_parameters, 4 * (1 + epoch) AS param_bytes
+        """SELECT unique_key, epoch, saved_at, "offset", 'model,unique_key,epoch' AS keys, 'b,w' AS param_names, 1 + epoch AS model_parameters, 4 * (1 + epoch) AS param_bytes
            FROM checkpoint_log""",
         "checkpoint_log",
     ),
 )
 def ckpt_describe(spark, sf_dir):
-    return ckpt.describe(v.checkpoint_log(spark, sf_dir)).withColumn("param_names", F.array_join("param_names", ","))
+    described = ckpt.describe(v.checkpoint_log(spark, sf_dir))
+    return described.withColumns({c: F.array_join(c, ",") for c in ("keys", "param_names")})

@@ -82,14 +82,24 @@ def count_removed(log: DataFrame, keep: int = 5) -> DataFrame:
     return log.agg(F.greatest(F.count(F.lit(1)) - keep, F.lit(0)).alias("removed"))
 
 
+def write_retained(log: DataFrame, path: str, keep: int = 5) -> int:
+    """Write a new snapshot of the newest `keep` checkpoints and return how many were left out."""
+    retain_newest(log, keep).write.parquet(path)
+    return count_removed(log, keep).first()["removed"]
+
+
 def describe(log: DataFrame) -> DataFrame:
-    """Key, epoch, save time, parameter names and total parameter count of each checkpoint."""
+    """Record fields, key, epoch, save time, parameter names and total parameter count of each checkpoint."""
+    fields = F.array(F.lit("model"), F.lit("unique_key"), F.lit("epoch"))
+    if "extra" in log.columns:
+        fields = F.concat(fields, F.coalesce(F.array_sort(F.map_keys("extra")), F.array().cast("array<string>")))
     total = F.aggregate(F.map_values("params"), F.lit(0).cast("bigint"), lambda acc, p: acc + F.size(p))
     return log.select(
         "unique_key",
         "epoch",
         "saved_at",
         "offset",
+        fields.alias("keys"),
         F.array_sort(F.map_keys("params")).alias("param_names"),
         total.alias("model_parameters"),
         (total * 4).alias("param_bytes"),
