@@ -141,6 +141,14 @@ def test_fillup_of_one_row_many_times(spark):
     assert filled.where("partition = 1").count() == 150_000
 
 
+def test_long_spans_are_spread_over_tasks(spark):
+    one = local_table(spark, [{"k": 1, "n": 1_000_000}], "k int, n bigint")
+    spans = expand(one, F.lit(1).cast("bigint"), F.col("n"), "i", spread=True)
+    per_task = spans.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_task) == 1_000_000
+    assert len(per_task) > 1
+
+
 def test_fillup_without_rows_is_an_error(spark):
     _, samples, plan = fillup_case(spark, [5, 5])
     with pytest.raises(Exception, match="no rows to draw from"):

@@ -36,7 +36,9 @@ def expand(df: DataFrame, first: Column, last: Column, name: str, spread: bool =
         "_at", F.explode(F.sequence("_lo", "_hi", chunk.cast("bigint")))
     )
     if spread:
-        chunks = chunks.repartition("_at", *[c for c in df.columns])
+        # A stated number of partitions: adaptive execution would merge these few small rows into one task.
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks = chunks.repartition(tasks, *df.columns, "_at")
     return chunks.withColumn(
         name, F.explode(F.sequence("_at", F.least("_hi", F.col("_at") + chunk - 1)))
     ).drop("_lo", "_hi", "_at")
