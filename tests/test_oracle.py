@@ -8,9 +8,9 @@ import pytest
 import __spark_entry__ as contract
 import check
 from conftest import ROOT
+from tidelog.catalog import load
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES, ORACLE = load()
 # Not expressible in SQL: iterative fitting and wall-clock times.
 ROWS_ONLY = {"mlp_epochs", "test_eval", "load_experiment_times"}
 
@@ -31,6 +31,11 @@ def test_only_the_known_queries_lack_sql():
     assert set(ORACLE) <= set(QUERIES)
 
 
+def test_contract_has_every_query():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLE) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
 def test_entry_has_rows(spark):
     assert contract.entry(spark).count() == 12
 
