@@ -1,9 +1,9 @@
 """Toxicity: subword-bag embeddings, averaged, into a linear softmax; both are trained together.
 
 A word is the mean of the vectors of its character n-grams (and of itself), so a misspelling shares most of its vector with the known word.
-A window is the mean of `WINDOW` words; a document is as toxic as its worst window, so that long texts do not thin out what they hold. With
-windows of one word no neighbour thins it out either: of the sizes from 1 to 16 that was the most accurate. For training, a document's label
-belongs to its windows at first; then a toxic one's belongs to its worst window only.
+A window is the mean of `WINDOW` words; a document is as toxic as its `WORST` worst windows are in the mean, so that long texts do not thin out
+what they hold. With windows of one word no neighbour thins it out either: of the sizes from 1 to 16 that was the most accurate. For training,
+a document's label belongs to all its windows at first; in the second half, a toxic one's belongs to its worst windows only.
 
 Every whole text gets a score: null and empty texts, and texts without words, that of an empty window. With no labelled rows every score is
 0.5; with labels of one kind only, the smoothed share of label 1. Repeated rows get equal scores. Null labels and ids teach nothing. Other
@@ -12,6 +12,7 @@ columns are kept; columns named like the outputs are replaced.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 
@@ -24,10 +25,12 @@ from pyspark.sql import types as T
 from tidelog.llm.batches import slices, with_column
 from tidelog.llm.learning import Adam, calibrate, fold, log_softmax, sigmoid, training_rows
 
-BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 1
+BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 8, (4, 5, 6), 1
 #: Bounds of the training sample: documents of each label, and words of one document.
 TRAINING_ROWS, TRAINING_WORDS = 1_500, 1_000
-EPOCHS, RATE, TABLE_RATE, DECAY, DOCS_A_STEP = 4, 0.01, 1.0, 0.001, 64
+RATE, TABLE_RATE, DECAY, DOCS_A_STEP = 0.01, 0.1, 0.0005, 64
+#: Documents seen in training, each at least 6 and at most 40 times. A document is judged by so many of its worst windows.
+SEEN, WORST = 16_000, 3
 CACHED_WORDS = 200_000
 _letters = re.compile(r"\W+").sub
 
@@ -82,13 +85,14 @@ def forward(model: dict, sample: Sample, chosen: np.ndarray) -> tuple:
     return means, means @ model["weights"] + model["bias"], (sizes, used, at, gram_sizes, rows)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> dict:
-    """Fit the table and the softmax; return the log-odds that each bucket adds, the offset, and the calibration of a document's worst window.
+def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed: int = 1) -> dict:
+    """Fit the table and the softmax; return the log-odds that each bucket adds, the offset, and the calibration of a document's worst windows.
 
     `labels` holds a 0 or 1 for each text.
     """
     if not len(labels):
         return {"bucket": np.zeros(BUCKETS, np.float32), "bias": 0.0, "slope": 0.0, "offset": 0.0}
+    epochs = epochs or min(40, max(6, SEEN // len(labels)))
     random = np.random.default_rng(seed)
     model = {
         "table": random.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32),
@@ -97,7 +101,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     }
     sample = Sample(texts, labels)
     dense = Adam({k: model[k] for k in ("weights", "bias")}, RATE)
-    worst = np.full(len(labels), -np.inf)
+    worst = np.zeros(len(labels))
     where = np.split(np.argsort(sample.of, kind="stable"), np.cumsum(np.bincount(sample.of, minlength=len(labels)))[:-1])
     docs = np.array([d for d, x in enumerate(where) if len(x)], dtype=np.int64)
     balance = len(labels) / max(1, labels.sum())
@@ -107,14 +111,20 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             chosen = np.concatenate([where[d] for d in docs[at : at + DOCS_A_STEP]])
             means, logits, (sizes, used, inverse, gram_sizes, rows) = forward(model, sample, chosen)
             odds, doc = logits[:, 1] - logits[:, 0], sample.of[chosen]
-            worst[docs[at : at + DOCS_A_STEP]] = -np.inf
-            np.maximum.at(worst, doc, odds)
+            order = np.lexsort((-odds, doc))
+            begins = np.flatnonzero(np.diff(doc[order], prepend=-1))
+            rank = np.empty(len(doc), dtype=np.int64)
+            rank[order] = np.arange(len(doc)) - np.repeat(begins, np.diff(np.append(begins, len(doc))))
+            chief = rank < WORST
+            of = doc[chief]
+            some = np.unique(of)
+            worst[some] = (np.bincount(of, odds[chief], len(labels)) / np.maximum(np.bincount(of, minlength=len(labels)), 1))[some]
             if epoch == epochs:  # the last pass only measures
                 continue
             y = labels[doc]
             weight = np.where(y == 1, balance, 1.0)
-            if epoch:
-                weight[(y == 1) & (odds < worst[doc])] = 0
+            if epoch >= epochs // 2:
+                weight[(y == 1) & ~chief] = 0
             delta = np.exp(log_softmax(logits))
             delta[np.arange(len(y)), y] -= 1
             delta *= weight[:, None]
@@ -125,7 +135,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             touched, place = np.unique(rows, return_inverse=True)
             gradient = np.stack([np.bincount(place, by_gram[:, k], len(touched)) for k in range(WIDTH)], 1)
             model["table"][touched] -= TABLE_RATE * np.clip(gradient, -5, 5) + DECAY * model["table"][touched]
-    worst[~np.isfinite(worst)] = float(model["bias"][1] - model["bias"][0])
+    worst[np.bincount(sample.of, minlength=len(labels)) == 0] = float(model["bias"][1] - model["bias"][0])
     slope, offset = calibrate(worst, labels)
     direction = model["weights"][:, 1] - model["weights"][:, 0]
     return {"bucket": (model["table"] @ direction).astype(np.float32), "bias": float(model["bias"][1] - model["bias"][0]), "slope": slope, "offset": offset}
@@ -156,7 +166,10 @@ class Scorer:
             values.append(value)
         odds = self.model["bias"]
         if values:
-            odds += max(values) if WINDOW == 1 else max(sum(x) / len(x) for x in (values[s : s + WINDOW] for s in range(0, len(values), WINDOW)))
+            if WINDOW > 1:
+                values = [sum(x) / len(x) for x in (values[s : s + WINDOW] for s in range(0, len(values), WINDOW))]
+            worst = heapq.nlargest(WORST, values)
+            odds += sum(worst) / len(worst)
         return float(sigmoid(self.model["slope"] * odds + self.model["offset"]))
 
 
