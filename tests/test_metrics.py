@@ -45,9 +45,10 @@ def test_best_takes_the_first_epoch_on_ties(spark):
         mt.best(df, "median")
 
 
-def test_history_comes_in_pages(spark, monkeypatch):
-    monkeypatch.setattr(mt, "PAGE_EPOCHS", 3)
-    pages = mt.history(series(spark, [1.0, 2.0, 3.0, 4.0])).collect()
+def test_history_comes_in_pages_when_asked(spark):
+    values = series(spark, [1.0, 2.0, 3.0, 4.0])
+    assert [(p["page"], p["values"]) for p in mt.history(values).collect()] == [(0, [1.0, 2.0, 3.0, 4.0])]
+    pages = mt.history(values, page_epochs=3).collect()
     assert [(p["page"], p["values"]) for p in pages] == [(0, [1.0, 2.0, 3.0]), (1, [4.0])]
 
 

@@ -155,7 +155,8 @@ def test_image_scan(spark, tmp_path):
     png(tmp_path / "color.png", color)
     (tmp_path / "broken.png").write_bytes(b"no image")
     rows = {r["origin"].split("/")[-1]: r for r in read_images(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"gray.png", "color.png"}
+    assert {name: r["is_bad"] for name, r in rows.items()} == {"gray.png": False, "color.png": False, "broken.png": True}
+    assert rows["broken.png"]["x"] is None and rows["broken.png"]["shape"] is None
     assert rows["gray.png"]["shape"] == [1, 2, 3]
     assert rows["gray.png"]["x"] == pytest.approx(gray.ravel() / 255, abs=1e-7)
     assert [round(v * 255) for v in rows["color.png"]["x"]] == [76, 150, 29, 255]

@@ -108,19 +108,24 @@ def batch_index(spark, sf_dir):
     )
 
 
-@query(
-    "epoch_loader",
-    with_views(
-        """SELECT role, CAST(shard AS INTEGER) AS shard, shard_pos // 64 AS batch_id, CAST(shard_pos % 64 AS INTEGER) AS batch_pos,
-                  sample_key, y, x0, x1, x2, x3 FROM shard_slots""",
-        "shard_slots",
-    ),
-)
+EPOCH_SQL = """SELECT role, CAST(shard AS INTEGER) AS shard, shard_pos // 64 AS batch_id, CAST(shard_pos % 64 AS INTEGER) AS batch_pos,
+                  sample_key, y, x0, x1, x2, x3 FROM shard_slots WHERE {}"""
+
+
+@query("epoch_loader", with_views(EPOCH_SQL.format("role <> 'train' OR shard_pos // 64 < n_total // 4 // 64"), "shard_slots"))
 def epoch_loader(spark, sf_dir):
+    """The loaders that training uses: the sampler drops the uneven tail, the loader its partial batch."""
     table = asm.epoch_table(v.role_samples(spark, sf_dir), "sample_key", BATCH, WORLD)
     return flat_x(table, "role", "shard", "batch_id", "batch_pos", "sample_key", "y")
 
 
+@query("epoch_loader_keep", with_views(EPOCH_SQL.format("TRUE"), "shard_slots"))
+def epoch_loader_keep(spark, sf_dir):
+    """Sharded loaders whose sampler alone drops."""
+    table = asm.epoch_table(v.role_samples(spark, sf_dir), "sample_key", BATCH, WORLD, drop_last=False)
+    return flat_x(table, "role", "shard", "batch_id", "batch_pos", "sample_key", "y")
+
+
 @query(
     "epoch_loader_single",
     with_views(
@@ -165,17 +170,20 @@ def log_loader(spark, sf_dir):
     )
 
 
-@query(
-    "loader_stats",
-    with_views(
-        """SELECT role, n AS dataset_size, CASE WHEN n IS NOT NULL THEN 64 END AS batch_size, b AS num_batches,
-                  b * 64 AS total_samples_per_epoch, CASE WHEN n IS NOT NULL THEN role = 'train' END AS drop_last
-           FROM (SELECT r.role, n, CAST(ceil((CASE WHEN r.role = 'train' THEN n // 4 ELSE (n + 3) // 4 END) / 64) AS BIGINT) AS b
+STATS_SQL = """SELECT role, n AS dataset_size, CASE WHEN n IS NOT NULL THEN 64 END AS batch_size, b AS num_batches,
+                  b * 64 AS total_samples_per_epoch, CASE WHEN n IS NOT NULL THEN {drops} END AS drop_last
+           FROM (SELECT r.role, n, CASE WHEN {drops} THEN n // 4 // 64
+                        WHEN r.role = 'train' THEN (n // 4 + 63) // 64 ELSE ((n + 3) // 4 + 63) // 64 END AS b
                  FROM (VALUES ('train'), ('val'), ('test'), ('extra')) AS r(role)
-                 LEFT JOIN (SELECT role, count(*) AS n FROM sample_split GROUP BY 1) USING (role)) """,
-        "sample_split",
-    ),
-)
+                 LEFT JOIN (SELECT role, count(*) AS n FROM sample_split GROUP BY 1) USING (role)) AS r"""
+
+
+@query("loader_stats_keep", with_views(STATS_SQL.format(drops="r.role = 'none'"), "sample_split"))
+def loader_stats_keep(spark, sf_dir):
+    return asm.loader_stats(v.role_samples(spark, sf_dir), BATCH, WORLD, (*asm.LOADERS, "extra"), drop_last=False)
+
+
+@query("loader_stats", with_views(STATS_SQL.format(drops="r.role = 'train'"), "sample_split"))
 def loader_stats(spark, sf_dir):
     return asm.loader_stats(v.role_samples(spark, sf_dir), BATCH, WORLD, (*asm.LOADERS, "extra"))
 

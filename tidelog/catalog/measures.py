@@ -470,7 +470,7 @@ def results_raw(spark, sf_dir):
 @query(
     "results_metadata",
     with_views(
-        """SELECT 4 AS total_experiments, count(*) AS total_data_points, 'tidelog' AS generated_by
+        """SELECT 6 AS total_experiments, count(*) AS total_data_points, 'tidelog' AS generated_by
            FROM timing JOIN experiment_names USING (experiment)""",
         "timing",
         "experiment_names",

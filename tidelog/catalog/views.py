@@ -16,7 +16,7 @@ WORLD = 4
 SPLITS_FILLUP = ({"rate": 0.85715}, {"rate": 0.071425}, {"rate": 0.071425})
 SPLITS_RATE = tuple({**s, "fillup": False} for s in SPLITS_FILLUP)
 SPLITS_HALF = ({"rate": 0.5}, {"rate": 0.5})
-EXPERIMENTS = ["view", "click", "error", "absent"]
+EXPERIMENTS = ["view", "click", "error", "purchase", "signup", "absent"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -268,7 +268,7 @@ VIEW_SQL = {
                CAST(event_id % 4 AS INTEGER) AS rank, value AS seconds, event_id FROM events""",
     "timing_low": "SELECT * REPLACE (100.0 - seconds AS seconds) FROM timing",
     "experiment_names": """
-        SELECT * FROM (VALUES (0, 'view'), (1, 'click'), (2, 'error'), (3, 'absent')) AS t(name_pos, experiment)""",
+        SELECT * FROM (VALUES (0, 'view'), (1, 'click'), (2, 'error'), (3, 'purchase'), (4, 'signup'), (5, 'absent')) AS t(name_pos, experiment)""",
     "boxplot": """
         SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM (
             SELECT experiment, count(*) AS "count", quantile_cont(seconds, 0.25) AS q1, quantile_cont(seconds, 0.5) AS median,

@@ -13,6 +13,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """Division of doubles that never fails: a zero divisor gives infinity, or not-a-number for 0/0."""
+    zero = F.when(a == 0, F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    return F.when(b == 0, zero).otherwise(F.try_divide(a.cast("double"), b.cast("double")))
+
+
 def idiv(a: Column | str, b: Column | int) -> Column:
     """Whole-number division; exact for positions beyond the range of doubles."""
     left = F.col(a) if isinstance(a, str) else a

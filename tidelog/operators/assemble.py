@@ -116,35 +116,37 @@ def epoch_table(
     world_size: int | None = None,
     seed: int = SAMPLER_SEED,
     epoch: int = 0,
+    drop_last: bool = True,
 ) -> DataFrame:
     """Train, val and test loaders of one epoch as one table.
 
-    Sharded: train is shuffled and its uneven tail dropped, the others keep their order and are padded. Unsharded:
-    one shard, and train drops its last partial batch.
+    Sharded: train is shuffled and its uneven tail dropped by the sampler, the others keep their order and are padded.
+    `drop_last` is the loader's own flag: whether train drops its last partial batch too. The loaders that training uses
+    do; sharded loaders without it exist as well. Unsharded: one shard, and train always drops its partial batch.
     """
     placed = role_positions(df, key, seed, epoch)
     is_train = F.col("role") == "train"
-    if world_size is not None:
-        return batch(shard(placed, world_size, drop_last=is_train), batch_size)
-    single = shard(placed, 1, drop_last=F.lit(False))
-    return batch(single, batch_size).where(
-        ~is_train | (F.col("batch_id") < idiv("shard_size", batch_size))
-    )
+    dealt = shard(placed, world_size or 1, drop_last=is_train if world_size is not None else F.lit(False))
+    batched = batch(dealt, batch_size)
+    if world_size is not None and not drop_last:
+        return batched
+    return batched.where(~is_train | (F.col("batch_id") < idiv("shard_size", batch_size)))
 
 
 def loader_stats(
-    df: DataFrame, batch_size: int, world_size: int | None = None, roles: tuple[str, ...] = LOADERS
+    df: DataFrame, batch_size: int, world_size: int | None = None, roles: tuple[str, ...] = LOADERS, drop_last: bool = True
 ) -> DataFrame:
-    """Per role: dataset size, batch size, batches per worker, samples per epoch, drop_last; nulls for no loader."""
+    """Per role: dataset size, batch size, batches per worker, samples per epoch, drop_last; nulls for no loader.
+
+    `drop_last` is the train loader's flag, as in `epoch_table`.
+    """
     counts = df.groupBy("role").agg(F.count(F.lit(1)).alias("dataset_size"))
     n, b = F.col("dataset_size"), F.lit(batch_size)
-    drop_last = F.col("role") == "train"
-    if world_size is None:
-        batches = F.when(drop_last, idiv(n, b)).otherwise(_ceil_div(n, b))
-    else:
-        w = F.lit(world_size)
-        per_worker = F.when(drop_last, idiv(n, w)).otherwise(_ceil_div(n, w))
-        batches = _ceil_div(per_worker, b)
+    is_train = F.col("role") == "train"
+    drops = is_train if drop_last or world_size is None else F.lit(False)
+    w = F.lit(world_size or 1)
+    per_worker = F.when(is_train, idiv(n, w)).otherwise(_ceil_div(n, w))
+    batches = F.when(drops, idiv(per_worker, b)).otherwise(_ceil_div(per_worker, b))
     names = local_table(df.sparkSession, [{"role": r} for r in roles], "role string")
     present = counts.select(
         "role",
@@ -152,7 +154,7 @@ def loader_stats(
         b.alias("batch_size"),
         batches.alias("num_batches"),
         (batches * b).alias("total_samples_per_epoch"),
-        drop_last.alias("drop_last"),
+        drops.alias("drop_last"),
     )
     return names.join(present, "role", "left")
 

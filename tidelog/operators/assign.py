@@ -73,6 +73,9 @@ def bootstrap_fillup(samples: DataFrame, plan: DataFrame, splits, seed: int = 0)
         raise ValueError(f"no rows to draw from in partitions {empty}")
     if rows == []:
         return samples.withColumn("copy", F.lit(0).cast("bigint"))
+    # The same error for a plan too large to look at here.
+    none = F.raise_error(F.concat(F.lit("no rows to draw from in partitions ["), F.col("partition").cast("string"), F.lit("]")))
+    missing = missing.withColumn("n", F.when(F.col("n") > 0, F.col("n")).otherwise(none.cast("bigint")))
     draws = expand(missing, F.lit(1).cast("bigint"), F.col("deficit"), "i", spread=True)
     extra = (
         draws.withColumn("_index", draw_index(seed, F.col("partition"), F.col("i"), F.col("n")))

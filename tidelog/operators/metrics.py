@@ -8,19 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.lets import idiv
+from tidelog.functions.lets import idiv, ratio
 from tidelog.session import checked_rows, local_table
 
 STEP = ("phase", "epoch", "name")
 SERIES = ("phase", "name")
 REDUCTIONS = ("mean", "sum", "min", "max")
-# Epochs per array when a history is returned as arrays: longer histories take several pages.
-PAGE_EPOCHS = 4096
 
 
 def scalar(values: Column) -> Column:
-    """Mean of an array-valued metric, by which arrays are compared."""
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double")) / F.size(values)
+    """Mean of an array-valued metric, by which arrays are compared; not-a-number for an empty one."""
+    return ratio(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double")), F.size(values))
 
 
 def reduce_over_workers(df: DataFrame, world_size: int, average: bool = True, keys: tuple[str, ...] = STEP) -> DataFrame:
@@ -68,15 +66,15 @@ def latest(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by("value", "epoch").alias("latest"))
 
 
-def history(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """Values in epoch order, in pages of bounded length; `page` 0 starts at epoch 1."""
-    return _paged(df, [*keys]).drop("_last").orderBy(*keys, "page")
+def history(df: DataFrame, keys: tuple[str, ...] = SERIES, page_epochs: int | None = None) -> DataFrame:
+    """Values in epoch order, one row per series. For histories too long for an array, `page_epochs` cuts them into pages."""
+    return _paged(df, [*keys], page_epochs).orderBy(*keys, "page")
 
 
-def _paged(df: DataFrame, keys: list[str]) -> DataFrame:
-    page = idiv(F.col("epoch") - 1, PAGE_EPOCHS).cast("int")
+def _paged(df: DataFrame, keys: list[str], page_epochs: int | None) -> DataFrame:
+    page = idiv(F.col("epoch") - 1, page_epochs).cast("int") if page_epochs else F.lit(0)
     values = F.transform(F.sort_array(F.collect_list(F.struct("epoch", "value"))), lambda s: s["value"])
-    return df.groupBy(*keys, page.alias("page")).agg(values.alias("values"), F.max("epoch").alias("_last"))
+    return df.groupBy(*keys, page.alias("page")).agg(values.alias("values"))
 
 
 def average_of_last(
@@ -128,23 +126,20 @@ def summary(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     )
 
 
-def snapshot(df: DataFrame, epoch_times: DataFrame | None = None) -> DataFrame:
-    """The whole history as nested maps phase -> name -> values, one record per page of epochs.
+def snapshot(df: DataFrame, epoch_times: DataFrame | None = None, page_epochs: int | None = None) -> DataFrame:
+    """The whole history as nested maps phase -> name -> values: one record, or one per page of `page_epochs`.
 
     With `epoch_times` (one row of totals), its values are added to every record.
     """
-    series = _paged(df, ["phase", "name"])
+    series = _paged(df, ["phase", "name"], page_epochs)
     phases = series.groupBy("page", "phase").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "values")))).alias("names"),
-        F.max("_last").alias("_last"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "values")))).alias("names")
     )
     records = phases.groupBy("page").agg(
-        F.map_from_entries(F.collect_list(F.struct("phase", "names"))).alias("metrics_history"),
-        F.max("_last").alias("_last"),
+        F.map_from_entries(F.collect_list(F.struct("phase", "names"))).alias("metrics_history")
     )
-    # One row per page: the newest page's last epoch is the current one.
-    newest = F.max("_last").over(Window.partitionBy(F.lit(0)))
-    records = records.withColumn("current_epoch", newest).drop("_last")
+    # A one-row aggregate of its own: the histories themselves never meet in one task for it.
+    records = records.withColumn("current_epoch", df.agg(F.max("epoch")).scalar())
     if epoch_times is not None:
         rows = checked_rows(epoch_times, 1)
         if not rows:

@@ -16,6 +16,15 @@ HASH_DIGITS = 4
 CHUNK_ROWS = 1_000_000
 
 
+def _joined(left: DataFrame, right: DataFrame, cells: list[str]) -> DataFrame:
+    """Inner join on columns that both have; a null joins a null."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in cells], *[c for c in right.columns if c not in cells])
+    same = F.lit(True)
+    for c in cells:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(renamed, same).drop(*[f"_r_{c}" for c in cells])
+
+
 def digest(*parts) -> Column:
     """Repeatable pseudo-random order key; the same text in any engine with md5."""
     return F.md5(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
@@ -50,7 +59,7 @@ def with_position(
     inside = Window.partitionBy(*cells).orderBy(*order)
     numbered = tagged.withColumn("_in_bucket", F.row_number().over(inside))
     return (
-        numbered.join(bases, cells)
+        _joined(numbered, bases, cells)
         .withColumn(name, F.col("_base") + F.col("_in_bucket") - 1)
         .drop("_bucket", "_base", "_in_bucket")
     )
@@ -73,8 +82,7 @@ def with_previous(
     )
     inside = Window.partitionBy(*cells).orderBy(*order)
     return (
-        tagged.withColumn("_lag", F.lag(picked).over(inside))
-        .join(carried, cells)
+        _joined(tagged.withColumn("_lag", F.lag(picked).over(inside)), carried, cells)
         .withColumn(name, F.coalesce("_lag", "_carry"))
         .drop("_bucket", "_lag", "_carry")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.operators.ordered import with_position
 from tidelog.session import local_table, small_table
 
 # Rows a bracket may hold before its values are ordered in one window.
@@ -87,6 +88,27 @@ def _number(targets: list[dict]) -> dict:
     return {(g, b): bounds for g, numbers in seen.items() for bounds, b in numbers.items()}
 
 
+def _by_position(df: DataFrame, key: str, value: str, probs: list[float], ranges: DataFrame, bins: int) -> DataFrame:
+    """Quantiles from the positions of rows, numbered bin by bin of their group's value range."""
+    v, lo, hi = F.col("_v") * 0.5, F.col("_min") * 0.5, F.col("_max") * 0.5
+    rows = df.select(key, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    rows = rows.join(ranges.select(key, "_n", F.col("_min").cast("double"), F.col("_max").cast("double")), key)
+    bin_of = F.when(F.col("_max") > F.col("_min"), F.floor((v - lo) / (hi - lo) * bins)).otherwise(F.lit(0))
+    placed = with_position(rows, [key], ["_v"], bin_of, "_pos", "_all")
+    picks = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(p)
+        for end, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            picks.append(F.max(F.when(F.col("_pos") == rank, F.col("_v"))).alias(f"s{2 * i + (end == 'hi')}"))
+    found = placed.groupBy(key).agg(F.max("_n").alias("_n"), *picks)
+    quantiles = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(p)
+        low, high = F.col(f"s{2 * i}"), F.col(f"s{2 * i + 1}")
+        quantiles.append(low + (high - low) * (h - F.floor(h)))
+    return found.select(key, F.array(*quantiles).alias("q"))
+
+
 def exact_quantiles(
     df: DataFrame,
     key: str,
@@ -98,11 +120,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with `q` = array of linearly interpolated quantiles.
 
-    `ranges` holds `range_columns` per group; its size is checked.
+    `ranges` holds `range_columns` per group. Brackets of few groups are narrowed from the driver; of any number of groups, rows are
+    numbered inside value bins of their group instead. The quantiles are the same.
     """
     _, groups = small_table(ranges.select(key, "_n", "_min", "_max").where("_n > 0"))
     if groups is None:
-        raise ValueError("too many groups for exact quantiles")
+        return _by_position(df, key, value, probs, ranges, bins)
     targets = []
     for g in groups:
         for i, p in enumerate(probs):

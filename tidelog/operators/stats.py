@@ -1,7 +1,7 @@
 """Statistics over timing samples: quartiles, fences, outliers, rankings, comparisons.
 
 Experiments are named by the caller, as the reports list fixed names: samples of other names are left out and a name
-without samples gives a null row. The name list bounds every per-experiment table.
+without samples gives a null row. Without a list of names, every name counts.
 """
 
 from __future__ import annotations
@@ -9,21 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions.lets import ratio
 from tidelog.operators.quantiles import exact_quantiles, range_columns
-from tidelog.session import checked_rows, local_table, small_table
+from tidelog.session import local_table, small_table
 
 QUARTILES = [0.25, 0.5, 0.75]
 
 
-def experiment_names(df: DataFrame, key: str = "experiment") -> list[str]:
-    """Names found in a table, checked to be few."""
-    rows = checked_rows(df.select(key).distinct())
-    if rows is None:
-        raise ValueError("too many distinct experiment names; pass the ones to analyze")
-    return sorted(r[0] for r in rows if r[0] is not None)
-
-
-def _named(df: DataFrame, names: list[str], key: str) -> DataFrame:
+def _named(df: DataFrame, names: list[str] | None, key: str) -> DataFrame:
+    if names is None:
+        return df.where(F.col(key).isNotNull())
     return df.where(F.col(key).isin(*names)) if names else df.where(F.lit(False))
 
 
@@ -36,7 +31,6 @@ def boxplot_stats(
     df: DataFrame, names: list[str] | None = None, key: str = "experiment", value: str = "seconds"
 ) -> DataFrame:
     """Count, quartiles, iqr, fences, mean, sample variance and deviation, min and max; no row for an empty name."""
-    names = experiment_names(df, key) if names is None else names
     rows = _named(df, names, key)
     v = F.col(value)
     base = rows.groupBy(key).agg(
@@ -143,8 +137,9 @@ def rank_experiments(means: DataFrame, key: str = "experiment") -> DataFrame:
 
 
 def ratio_to_best(means: DataFrame) -> DataFrame:
-    ratio = F.col("mean") / F.min("mean").over(Window.partitionBy(F.lit(0)))
-    return means.withColumn("ratio", ratio).withColumn(
+    """Each mean over the best one; infinite or not-a-number where the best is 0."""
+    best = F.min("mean").over(Window.partitionBy(F.lit(0)))
+    return means.withColumn("ratio", ratio(F.col("mean"), best)).withColumn(
         "slowdown_pct", F.when(F.col("ratio") > 1, (F.col("ratio") - 1) * 100)
     )
 
@@ -159,7 +154,7 @@ def spread(means: DataFrame, key: str = "experiment") -> DataFrame:
         F.col(f"best.{key}").alias("best_performer"),
         F.col(f"worst.{key}").alias("worst_performer"),
         gap.alias("performance_spread"),
-        (gap / F.col("worst.mean") * 100).alias("relative_improvement"),
+        (ratio(gap, F.col("worst.mean")) * 100).alias("relative_improvement"),
     )
 
 

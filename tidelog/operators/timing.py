@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.lets import idiv
+from tidelog.functions.lets import idiv, ratio
 from tidelog.operators.assemble import LOADERS, per_worker_batch, role_of
 from tidelog.operators.ordered import with_previous
 from tidelog.operators.quantiles import exact_quantiles, range_columns
@@ -120,7 +120,7 @@ def batch_timing(df: DataFrame, names: list[str], max_batches: int | None = None
             F.coalesce("_min", zero).alias("min_batch_time"),
             F.coalesce("_max", zero).alias("max_batch_time"),
             F.coalesce("_n", F.lit(0)).alias("num_batches"),
-            (F.col("_n") / F.col("total")).alias("batches_per_second"),
+            ratio(F.col("_n"), F.col("total")).alias("batches_per_second"),
         )
     )
 

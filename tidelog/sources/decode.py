@@ -26,14 +26,17 @@ def decode_json(df: DataFrame, payload: Payload, value: str = "value") -> DataFr
         ]
     )
     # The body is parsed as the one element of an array: a bare parse would stop at the end of the first object and
-    # accept whatever follows it.
+    # accept whatever follows it. It stands in an object too: text that closes the array itself breaks the object there. The
+    # digest at the end shows that the parse came to the end: text that closes everything cannot hold its own digest.
     wrapped = T.StructType(
-        [T.StructField("body", T.ArrayType(fields)), T.StructField(CORRUPT, T.StringType())]
+        [T.StructField("body", T.ArrayType(fields)), T.StructField("end", T.StringType()), T.StructField(CORRUPT, T.StringType())]
     )
-    text = F.concat(F.lit('{"body":['), F.col(value).cast("string"), F.lit("]}"))
+    raw = F.col(value).cast("string")
+    text = F.concat(F.lit('{"body":['), raw, F.lit('],"again":{"body":'), raw, F.lit('},"end":"'), F.md5(F.col(value).cast("binary")), F.lit('"}'))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
     body = F.get("_parsed.body", F.lit(0))
     whole = F.col(f"_parsed.{CORRUPT}").isNull() & (F.size("_parsed.body") == 1) & body.isNotNull()
+    whole = whole & (F.col("_parsed.end") == F.md5(F.col(value).cast("binary")))
     # Parsing goes through a generator: a filter on its result would otherwise move below it and parse every body again.
     return (
         df.withColumn("_parsed", F.explode(F.array(F.from_json(text, wrapped, options))))

@@ -25,7 +25,7 @@ def gray_bytes(data: bytes, channels: int) -> np.ndarray:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def gray_pixels(data: pd.Series, channels: pd.Series) -> pd.Series:
-    return pd.Series([gray_bytes(d, c).astype(np.int32) for d, c in zip(data, channels)])
+    return pd.Series([gray_bytes(d, c).astype(np.int32) if c > 0 else None for d, c in zip(data, channels)])
 
 
 def gray_unit(data: Column, channels: Column) -> Column:
@@ -34,10 +34,12 @@ def gray_unit(data: Column, channels: Column) -> Column:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of origin, shape [1, height, width] and `x`; undecodable files are dropped by the source."""
-    image = spark.read.format("image").option("dropInvalid", True).load(path)
+    """Rows of origin, shape [1, height, width], `x` and `is_bad`; a file that is no image has neither shape nor `x`."""
+    image = spark.read.format("image").option("dropInvalid", False).load(path)
+    bad = F.col("image.nChannels") < 1
     return image.select(
         F.col("image.origin").alias("origin"),
-        F.array(F.lit(1), "image.height", "image.width").alias("shape"),
+        F.when(~bad, F.array(F.lit(1), "image.height", "image.width")).alias("shape"),
         gray_unit(F.col("image.data"), F.col("image.nChannels")).alias("x"),
+        bad.alias("is_bad"),
     )

@@ -14,10 +14,6 @@ from pyspark.sql import types as T
 
 from tidelog.session import small_table
 
-# Above this many partitions the scan filter keeps only the overall offset bounds.
-MAX_LITERAL_RANGES = 256
-
-
 def kafka_offset_options(topic: str, ranges: dict[int, tuple[int, int]]) -> dict[str, str]:
     """Start and end maps for the Kafka source, from end-inclusive ranges."""
     starts = {topic: {str(p): s for p, (s, _) in ranges.items()}}
@@ -57,11 +53,11 @@ def range_bounds(rows) -> Column:
         spans[row["partition"]] = (min(low, row["start_offset"]), max(high, row["end_offset"]))
     if not spans:
         return F.lit(False)
-    if len(spans) > MAX_LITERAL_RANGES:
-        return F.col("offset").between(min(s for s, _ in spans.values()), max(e for _, e in spans.values()))
-    bounds = [
-        (F.col("partition") == p) & F.col("offset").between(s, e) for p, (s, e) in sorted(spans.items())
-    ]
+    # Partitions with equal bounds share a term, so that equal ranges over many partitions stay a short filter.
+    alike: dict[tuple[int, int], list[int]] = {}
+    for p, span in sorted(spans.items()):
+        alike.setdefault(span, []).append(p)
+    bounds = [F.col("partition").isin(ps) & F.col("offset").between(s, e) for (s, e), ps in alike.items()]
     # A balanced OR keeps the expression shallow.
     while len(bounds) > 1:
         bounds = [a | b for a, b in zip(bounds[::2], bounds[1::2])] + bounds[len(bounds) // 2 * 2 :]
