@@ -21,6 +21,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name that none of the columns has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most `limit` bytes in `column`; a larger single value is a part of its own."""
     values = batch.column(column)
@@ -54,5 +61,5 @@ def with_column(
                 yield pa.RecordBatch.from_arrays([*columns, made], names=[*kept, name])
 
     # The source travels once more as last column, so that it can also be the replaced one.
-    fed = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("_source"))
+    fed = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias(unused("_source", kept)))
     return fed.mapInArrow(run, schema)
