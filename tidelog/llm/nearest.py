@@ -134,7 +134,7 @@ def search_block(forest: DataFrame, block: list, k: int, kth: dict[int, float],
     for number, vec_id, vector in block:
         by_dims.setdefault(len(vector), []).append((number, vec_id, vector))
     packed = {
-        d: (np.array([x[0] for x in rows]), np.array([x[1] for x in rows]), np.array([x[2] for x in rows], dtype=np.float64).reshape(len(rows), d), np.array([kth.get(x[0], -np.inf) for x in rows]))
+        d: (np.array([x[0] for x in rows]), np.array([x[1] for x in rows]), np.array([x[2] for x in rows], dtype=np.float64).reshape(len(rows), d), [kth.get(x[0], float("-inf")) for x in rows])
         for d, rows in by_dims.items()
     }
     shared = forest.sparkSession.sparkContext.broadcast(packed)  # at most QUERY_BLOCK vectors
@@ -179,7 +179,7 @@ def top_k(df: DataFrame, queries: F.Column, k: int = 5, scale: int = 256, vec_id
         # Blocks by hash: half of the bound on average.
         block = [(r.number, r.vec_id, r.vector) for r in asked.where(F.pmod(F.xxhash64("number"), F.lit(blocks)) == b).collect()]
         near = best(search_block(forest, block, k, {}, 1), k).where(F.col("rank") == k)
-        kth = {r.number: float(r.score) for r in near.select("number", "score").collect()}
+        kth = {r.number: r.score for r in near.select("number", "score").collect()}
         found = best(search_block(forest, block, k, kth, None), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
         found = saved(found, "nearest") if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
