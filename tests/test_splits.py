@@ -16,6 +16,7 @@ from tidelog.plans.splits import (
 )
 from tidelog.session import local_table
 
+# The offsets in these tests must come out exactly so.
 THREE = [{"rate": 0.85715}, {"rate": 0.071425}, {"rate": 0.071425}]
 
 
@@ -104,6 +105,24 @@ def test_worker_check(spark):
     log = local_table(spark, [{"partition": 0}, {"partition": 1}], "partition int")
     row = partition_worker_check(log, offset_strings(spark, ["0:0:1", "1:0:1", "2:0:1"]), 2).first()
     assert row["partitions_match"] and not row["strings_match"]
+    with pytest.raises(Exception, match="2 partitions and 3 offset strings for 2 workers"):
+        partition_worker_check(log, offset_strings(spark, ["0:0:1", "1:0:1", "2:0:1"]), 2, strict=True).collect()
+    row = partition_worker_check(log, offset_strings(spark, ["0:0:1", "1:0:1"]), 2, strict=True).first()
+    assert row["partitions_match"] and row["strings_match"]
+
+
+@pytest.mark.parametrize(
+    ("rates", "want"),
+    [([0.6], [0.6, 0.4]), ([0.6, None], [0.6, 0.4]), ([None], [1.0]), ([0.1] * 10, [0.1] * 10), ([1.0], [1.0])],
+)
+def test_rates_are_completed(rates, want):
+    assert [s.rate for s in normalize_splits([{"rate": r} for r in rates])] == want
+
+
+@pytest.mark.parametrize("rates", [[None, 0.5], [0.7, 0.7, 0.1], [0.5, 0.6]])
+def test_wrong_rates_are_refused(rates):
+    with pytest.raises(ValueError):
+        normalize_splits([{"rate": r} for r in rates])
 
 
 def recurrence(offsets, splits):

@@ -12,7 +12,7 @@ from tidelog.functions import scores as sc
 from tidelog.functions import vectors as vec
 from tidelog.operators import checkpoints as ckpt
 from tidelog.operators.timing import run_load_experiment
-from tidelog.operators.train import FeedForward, final_test, run_on_workers, score, train
+from tidelog.operators.train import FeedForward, evaluate, final_test, run_on_workers, score, train
 from tidelog.session import local_table, shared_dir, small_table
 from tidelog.sources.images import gray_bytes, read_images
 from tidelog.sources.results import load_results, raw_by_name, save_results, try_load_results
@@ -241,3 +241,10 @@ def test_small_tables_are_checked(spark):
     assert len(rows) == 5 and table.count() == 5
     table, rows = small_table(spark.range(6), 5)
     assert rows is None and table.count() == 6
+
+
+def test_metrics_can_be_attached(spark):
+    scored = spark.createDataFrame([([0.1, 0.7, 0.2], 1), ([0.5, 0.3, 0.2], 1), ([0.6, 0.3, 0.1], 2)], "scores array<double>, label int")
+    metrics = {"accuracy": sc.accuracy, "top 2": lambda s, y: sc.top_k_accuracy(s, y, 2), "rows": lambda s, y: F.count(y)}
+    found = {r["name"]: r["value"] for r in evaluate(scored, "val", 3, metrics=metrics).collect()}
+    assert found == {"accuracy": pytest.approx(100 / 3), "top 2": pytest.approx(200 / 3), "rows": 3.0}

@@ -71,13 +71,18 @@ def prediction_grid(scored: DataFrame, key: str, shape: tuple[int, int, int], ro
     )
 
 
-def evaluate(scored: DataFrame, phase: str, epoch: int, scores: str = "scores", label: str = "label") -> DataFrame:
-    """Metric rows (phase, epoch, name, value) for accuracy and loss of a scored table."""
-    s, y = F.col(scores), F.col(label)
-    values = scored.agg(accuracy(s, y).alias("accuracy"), cross_entropy(s, y).alias("loss"))
-    return values.select(
-        F.lit(phase).alias("phase"), F.lit(epoch).alias("epoch"), F.expr("stack(2, 'accuracy', accuracy, 'loss', loss) AS (name, value)")
-    )
+#: A metric turns columns of scores and labels into an aggregate.
+Metrics = dict[str, Callable[[Column, Column], Column]]
+METRICS: Metrics = {"accuracy": accuracy, "loss": cross_entropy}
+
+
+def evaluate(
+    scored: DataFrame, phase: str, epoch: int, scores: str = "scores", label: str = "label", metrics: Metrics = METRICS
+) -> DataFrame:
+    """Metric rows (phase, epoch, name, value) of a scored table, all from one aggregate."""
+    values = scored.agg(*[make(F.col(scores), F.col(label)).cast("double").alias(f"_m{i}") for i, make in enumerate(metrics.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"_m{i}").alias("value")) for i, name in enumerate(metrics)])
+    return values.select(F.lit(phase).alias("phase"), F.lit(epoch).alias("epoch"), F.inline(rows))
 
 
 @dataclass(frozen=True)
@@ -100,6 +105,7 @@ def train(
     steps_per_epoch: int = 5,
     validate: bool = True,
     seed: int = 42,
+    metrics: Metrics = METRICS,
 ) -> TrainedModel:
     """Fit on the `train` rows of (role, x, label) and keep metrics per epoch; test once at the end.
 
@@ -127,18 +133,18 @@ def train(
                 phases.append("test")
             for phase in phases:
                 scored = _scored(model, vectors.where(F.col("role") == phase))
-                rows += [r.asDict() for r in evaluate(scored, phase, epoch if phase != "test" else 1).collect()]
+                rows += [r.asDict() for r in evaluate(scored, phase, epoch if phase != "test" else 1, metrics=metrics).collect()]
     finally:
         vectors.unpersist()
     return TrainedModel(model, local_table(spark, rows, "phase string, epoch int, name string, value double"))
 
 
-def final_test(model, samples: DataFrame) -> DataFrame:
+def final_test(model, samples: DataFrame, metrics: Metrics = METRICS) -> DataFrame:
     """Metrics of the `test` rows, no rows where there are none."""
     vectors = samples.where(F.col("role") == "test").select(
         array_to_vector(F.col("x").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label")
     )
-    return evaluate(_scored(model, vectors), "test", 1).where(F.col("value").isNotNull())
+    return evaluate(_scored(model, vectors), "test", 1, metrics=metrics).where(F.col("value").isNotNull())
 
 
 def run_on_workers(

@@ -7,6 +7,7 @@ per split, a running sum of them per partition, and clamping to the partition's
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,25 +26,23 @@ def normalize_splits(splits) -> list[Split]:
     given = [s if isinstance(s, Split) else Split(s.get("rate"), s.get("fillup")) for s in splits or []]
     if not given:
         return [Split(1.0, True)]
-    out: list[Split] = []
-    total = 0.0
-    for i, split in enumerate(given):
-        last = i == len(given) - 1
-        rate = split.rate
-        if rate is None:
-            if not last:
-                raise ValueError(f"split {i} has no rate; only the last split may omit it")
-            rate = round(1.0 - total, 10)
-        total += rate
-        if total > 1.0 and not last:
-            raise ValueError(f"split rates exceed 1.0 after entry {i}")
-        out.append(Split(rate, True if split.fillup is None else split.fillup))
-    if total < 1.0 and round(total, 10) != 1.0:
-        out.append(Split(round(1.0 - total, 10), True))
-    final = round(sum(s.rate for s in out), 10)
+    rates = [s.rate for s in given]
+    fillups = [s.fillup is None or s.fillup for s in given]
+    if None in rates[:-1]:
+        raise ValueError(f"split {rates.index(None)} has no rate; only the last split may omit it")
+    if rates[-1] is None:
+        rates[-1] = round(1.0 - sum(rates[:-1]), 10)
+    sums = list(accumulate(rates))
+    beyond = [i for i, total in enumerate(sums[:-1]) if total > 1.0]
+    if beyond:
+        raise ValueError(f"split rates exceed 1.0 after entry {beyond[0]}")
+    rest = round(1.0 - sums[-1], 10)
+    if rest > 0:
+        rates, fillups = [*rates, rest], [*fillups, True]
+    final = round(sum(rates), 10)
     if final != 1.0:
         raise ValueError(f"split rates sum to {final}, not 1.0")
-    return out
+    return [Split(r, f) for r, f in zip(rates, fillups, strict=True)]
 
 
 def offset_strings(spark: SparkSession, texts: list[str]) -> DataFrame:
@@ -175,12 +174,12 @@ def offset_distribution(offsets: DataFrame, world_size: int) -> DataFrame:
     )
 
 
-def partition_worker_check(log: DataFrame, strings: DataFrame, world_size: int) -> DataFrame:
-    """One-row verdict: log partitions and offset strings both number `world_size`."""
+def partition_worker_check(log: DataFrame, strings: DataFrame, world_size: int, strict: bool = False) -> DataFrame:
+    """One-row verdict: log partitions and offset strings both number `world_size`. Strict mode fails where they do not."""
     found = log.agg(F.countDistinct("partition").alias("n_partitions"))
     given = strings.agg(F.count(F.lit(1)).alias("n_offset_strings"))
     both = found.unionByName(given, allowMissingColumns=True)
-    return both.agg(
+    verdict = both.agg(
         F.max("n_partitions").alias("n_partitions"), F.max("n_offset_strings").alias("n_offset_strings")
     ).select(
         "n_partitions",
@@ -189,6 +188,11 @@ def partition_worker_check(log: DataFrame, strings: DataFrame, world_size: int)
         (F.col("n_partitions") == world_size).alias("partitions_match"),
         (F.col("n_offset_strings") == world_size).alias("strings_match"),
     )
+    if not strict:
+        return verdict
+    counts = F.format_string("%d partitions and %d offset strings for %d workers", "n_partitions", "n_offset_strings", "world_size")
+    fine = F.col("partitions_match") & F.col("strings_match")
+    return verdict.withColumn("partitions_match", F.when(fine, F.lit(True)).otherwise(F.raise_error(counts).cast("boolean")))
 
 
 def split_report(plan: DataFrame) -> DataFrame:
