@@ -95,6 +95,31 @@ def test_bpe_round_trip(odd, empty, library):
         assert all(list(r.ids) == library.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "") for r in rows)
 
 
+@pytest.mark.parametrize("size", [20_000, 200_000])
+@pytest.mark.parametrize("kind", ["letters", "white", "no spaces"])
+def test_memory_is_linear_in_a_piece(vocabulary, library, kind, size):
+    import tracemalloc
+
+    import public_tokenizers
+
+    draw = random.Random(8)
+    alphabet = {"letters": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "white": " \t\u3000", "no spaces": "漢字仮名交文"}[kind]
+    text = "".join(draw.choices(alphabet, k=size))
+    encoder = bpe.Encoder(vocabulary, public_tokenizers.PATTERN)
+    words = bpe.WordEncoder(encoder.encode_words, encoder.encode_bytes)
+    for whole in (text, f"x {text[1:]}y"):
+        # Tracing is slow; what the long piece needs shows on the short one.
+        if size == 20_000:
+            tracemalloc.start()
+        found = np.frombuffer(words.encode([whole])[0], "<i4").tolist()
+        if size == 20_000:
+            assert tracemalloc.get_traced_memory()[1] < 20_000_000
+            tracemalloc.stop()
+            assert found == library.encode_ordinary(whole)
+        assert b"".join(map(vocabulary.bytes_of.__getitem__, found)).decode() == whole
+    assert all(len(w) <= bpe.SHORT_BYTES for w in words.known)
+
+
 # 2: packing
 
 

@@ -23,6 +23,7 @@ from tidelog.llm.batches import with_column
 
 CACHED_WORDS = 200_000
 WORDS_A_CALL = 50_000
+SHORT_BYTES = 100
 
 
 class Vocabulary:
@@ -109,15 +110,18 @@ class Vocabulary:
         """Ids of each piece as little-endian 32-bit integers. In sorted order, a piece goes on with the table of the prefix it shares with the one before."""
         out: dict[str, bytes] = {}
         last: list[int] = []
-        ids = [b""]  # of each prefix
         before = b""
         get, pairs, sizes = self.ranks.get, self._pairs, self._sizes
         for piece in sorted(pieces):
             data = piece.encode()
-            shared = min(len(data), len(before))
-            while data[:shared] != before[:shared]:
-                shared -= 1
-            del last[shared:], ids[shared + 1 :]
+            shared, limit = 0, min(len(data), len(before))
+            while shared < limit:
+                middle = (shared + limit + 1) // 2
+                if data[shared:middle] == before[shared:middle]:
+                    shared = middle
+                else:
+                    limit = middle - 1
+            del last[shared:]
             for end in range(shared + 1, len(data) + 1):
                 # The valid token is unique, so likely sizes come first.
                 for size in sizes:
@@ -131,12 +135,21 @@ class Vocabulary:
                         if not apart:
                             continue
                     last.append(token)
-                    ids.append(ids[start] + token.to_bytes(4, "little"))
                     break
-            out[piece] = ids[-1]
+            # Only last tokens are kept of each prefix, so that memory is linear in the longest piece.
+            out[piece] = np.array(self.tokens(last), "<i4").tobytes() if len(data) > SHORT_BYTES else self._packed(last)
             before = data
         return out
 
+    def _packed(self, last: list[int]) -> bytes:
+        """Ids of a short piece."""
+        found, end, bytes_of = b"", len(last), self.bytes_of
+        while end:
+            token = last[end - 1]
+            found = token.to_bytes(4, "little") + found
+            end -= len(bytes_of[token])
+        return found
+
 
 class WordEncoder:
     """Texts to ids, word by word. Words between single spaces are encoded once, many together, and then looked up.
@@ -176,6 +189,10 @@ class WordEncoder:
                 words[0] = self.encode_text(words[0])
                 words[1:] = map(known.__getitem__, words[1:])
                 out.append(b"".join(words))
+        # Long words seldom return, and the bound on the table counts words, not bytes.
+        for word in fresh:
+            if len(word) > SHORT_BYTES:
+                del known[word]
         return out
 
 
