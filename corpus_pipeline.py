@@ -28,10 +28,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id. Of repeated rows with one id, which all carry it, one stays too."""
-    classes = jaccard.join(docs.select("doc_id", "text")).where("n_links > 0")
-    others = saved(classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct(), "near")
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(COLUMNS)
+    """One row of each group stays: that with the smallest (id, number), null ids last. Rows are numbered first, so that rows stored again, rows
+    without an id and different texts under one id are told apart. Texts without words have no n-grams and stay."""
+    rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "numbered")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    classes = jaccard.join(rows.select(place.alias("doc_id"), "text")).where("n_links > 0")
+    others = saved(classes.where("doc_id._row <> class_id._row").select("doc_id._row"), "near")
+    return rows.join(others.hint("shuffle_hash"), "_row", "left_anti").select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

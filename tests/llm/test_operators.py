@@ -472,5 +472,19 @@ def test_stages_on_the_given_documents(spark, tmp_path):
     assert set(want) <= set(given)
 
 
+def test_one_row_of_each_near_group_stays(spark):
+    words = [f"n{i}" for i in range(100)]
+    other = [f"o{i}" for i in range(100)]
+    near = [*words[:99], "changed"]
+    rows = [(1, words), (1, words), (1, other), (2, near), (3, other), (None, near), (None, near), (None, words[:60] + other[:60]), (None, other[:60] + words[:60]), (None, other[:60] + words[:60])]
+    rows = [(i, " ".join(t)) for i, t in rows] + [(4, ""), (5, None)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "").collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[7], rows[10], rows[11]], key=str)
+    # A near copy under an id whose other text is not one.
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (2, " ".join(other))]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "").collect()]
+    assert sorted(got) == [rows[0], rows[2]]
+
+
 def test_run_returns_packed_pieces(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
