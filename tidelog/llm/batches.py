@@ -14,11 +14,21 @@ from tidelog.session import scratch_path
 SLICE_BYTES = 4_000_000
 
 
+#: Spark then drops a query's shuffle files when the query is over, not when the driver's memory is next cleaned.
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: later steps neither recompute it nor depend on the executors that made it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: later steps neither recompute it nor depend on the executors that made it. Its shuffle files go
+    when it is written."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(FREES_SHUFFLES, None)
+    spark.conf.set(FREES_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREES_SHUFFLES, before) if before is not None else spark.conf.unset(FREES_SHUFFLES)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unused(name: str, columns: list[str]) -> str:
