@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, exact, jaccard, language, lines, nearest, packing, quality, substring, toxicity
+from tidelog.llm import bpe, exact, jaccard, language, lines, nearest, packing, quality, substring, suffixes, toxicity
 
 CAPACITY = 2048
 
@@ -165,11 +165,43 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicate(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s.length)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# Bytes as pairs of hexadecimal digits; a string of 50 bytes is 100 digits.
+OP11_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM docs, unnest(range(0, len(h) // 2 - 49)) AS u(i)),
+firsts AS (SELECT s, min(doc_id) AS first FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
+marks AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE first < doc_id),
+runs AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM marks)
+),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM spans
+  UNION ALL SELECT doc_id, 0 AS a, min(a) AS b FROM spans GROUP BY doc_id
+),
+kept AS (
+  SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS k
+  FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+),
+sums AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s.k, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(t.k, h))) AS kept_sha256
+FROM docs d LEFT JOIN sums s USING (doc_id) LEFT JOIN kept t USING (doc_id)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_topk, op8_line_dedup, op9_language, op10_jaccard_join, pipeline)}
-ORACLE = {"op5_substring_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_topk": OP7_SQL, "op8_line_dedup": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_topk, op8_line_dedup, op9_language, op10_jaccard_join, op11_suffix_dedup, pipeline)}
+ORACLE = {"op5_substring_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_topk": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_suffix_dedup": OP11_SQL}
