@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, exact, jaccard, language, lines, nearest, packing, quality, substring, suffixes, toxicity
+from tidelog.llm import audit, bpe, exact, jaccard, language, lines, nearest, packing, quality, substring, suffixes, toxicity
 
 CAPACITY = 2048
 
@@ -197,11 +197,54 @@ FROM docs d LEFT JOIN sums s USING (doc_id) LEFT JOIN kept t USING (doc_id)
 """
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(audit.failures(documents(spark, sf_dir), "lang"), labels(spark, sf_dir))
+
+
+OP12_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+),
+firsts AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
+known AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+    CASE WHEN len(words) < 100 THEN 'A' ELSE '' END ||
+    CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END ||
+    CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END ||
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END ||
+    CASE WHEN docs.doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM docs JOIN firsts USING (text) LEFT JOIN known USING (doc_id)
+),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM flags GROUP BY ALL),
+orders AS (
+  SELECT '' AS o UNION ALL SELECT o || f FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS t(f) WHERE NOT contains(o, f)
+),
+steps AS (SELECT o AS filter_order, CAST(k AS INTEGER) AS step, o[k:k] AS f, o[1:k - 1] AS before FROM orders, range(1, 6) AS r(k) WHERE length(o) = 5),
+hits AS (
+  SELECT part, filter_order, step, f, fails, n, good, bad,
+    contains(fails, f) AS fit, regexp_matches(fails, '[' || before || '_]') AS gone FROM cells, steps
+),
+counted AS (
+  SELECT part, filter_order, step, any_value(f) AS f,
+    coalesce(sum(n) FILTER (NOT fit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fit AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (fit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fit AND NOT gone), 0) AS good_lost, coalesce(sum(bad) FILTER (fit AND NOT gone), 0) AS toxic_lost
+  FROM hits GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_topk, op8_line_dedup, op9_language, op10_jaccard_join, op11_suffix_dedup, pipeline)}
-ORACLE = {"op5_substring_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_topk": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_suffix_dedup": OP11_SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_topk, op8_line_dedup, op9_language, op10_jaccard_join, op11_suffix_dedup, op12_filter_audit, pipeline)}
+ORACLE = {"op5_substring_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_topk": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_suffix_dedup": OP11_SQL, "op12_filter_audit": OP12_SQL}
