@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import audit, bpe, exact, jaccard, language, lines, nearest, packing, quality, substring, suffixes, toxicity
+from tidelog.llm import audit, bpe, exact, jaccard, language, lines, nearest, packing, quality, substring, suffixes, toxicity, turns
 
 CAPACITY = 2048
 
@@ -240,11 +240,51 @@ FROM counted
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.prefix_trie(*turns.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+# DuckDB has no CRC-32; it is computed bit by bit.
+OP13_SQL = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS item
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+originals AS (SELECT conv_id, list(item ORDER BY i) AS items FROM turns GROUP BY conv_id),
+sums AS (
+  SELECT conv_id, xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda c, x: list_reduce([xor(c, x)] || range(1, 9), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)), 4294967295) % 9 AS h
+  FROM originals
+),
+built AS (
+  SELECT o.conv_id, list_concat(coalesce(b.items[1:h], []), o.items[h + 1:]) AS items
+  FROM originals o JOIN sums USING (conv_id) LEFT JOIN originals b ON b.conv_id = o.conv_id - o.conv_id % 5
+),
+paths AS (SELECT conv_id, d AS depth, items[1:d] AS prefix, len(items) = d AS ends FROM built, unnest(range(0, len(items) + 1)) AS r(d)),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * strlen(prefix[depth].text) END AS saved
+  FROM paths GROUP BY prefix, depth
+),
+kids AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+subtrees AS (
+  SELECT u.prefix[1:d] AS prefix, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(u.saved) AS saved_tokens
+  FROM nodes u LEFT JOIN kids k USING (prefix), unnest(range(0, u.depth + 1)) AS r(d) GROUP BY 1
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s USING (prefix) LEFT JOIN kids k USING (prefix)
+LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.prefix[1:n.depth - 1]
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_topk, op8_line_dedup, op9_language, op10_jaccard_join, op11_suffix_dedup, op12_filter_audit, pipeline)}
-ORACLE = {"op5_substring_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_topk": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_suffix_dedup": OP11_SQL, "op12_filter_audit": OP12_SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_topk, op8_line_dedup, op9_language, op10_jaccard_join, op11_suffix_dedup, op12_filter_audit, op13_prefix_trie, pipeline)}
+ORACLE = {"op5_substring_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_topk": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_suffix_dedup": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_prefix_trie": OP13_SQL}
