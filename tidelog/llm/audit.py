@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.batches import saved, slices
 
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 100, 80, 10, "#$%&*|"
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 SHARD = (
     "shard long, ids array<long>, parts array<string>, capitals array<boolean>, signs array<boolean>, digests array<binary>, "
     "indptr array<int>, indices binary, counts binary, words array<binary>"
@@ -48,9 +48,8 @@ class Vocabulary(dict):
 def matrix_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """indptr, indices, counts and words of some texts."""
     vocabulary = Vocabulary()
-    words = [t.split() for t in texts]
-    sizes = np.array([len(w) for w in words])
-    numbers = np.fromiter(map(vocabulary.__getitem__, itertools.chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
+    numbered = [np.fromiter(map(vocabulary.__getitem__, t.split()), dtype=np.int32) for t in texts]  # one text's words at a time
+    sizes, numbers = np.array([len(n) for n in numbered]), np.concatenate(numbered)
     entries, counts = np.unique((np.repeat(np.arange(len(texts)), sizes) << 32) | numbers, return_counts=True)
     indptr = np.searchsorted(entries >> 32, np.arange(len(texts) + 1))
     return indptr.astype(np.int32), (entries & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32), list(vocabulary)
