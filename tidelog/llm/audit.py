@@ -1,7 +1,7 @@
 """Filter interaction audit over a sparse document-term matrix.
 
-Texts are gathered into shards. A shard counts its words under numbers of its own and lists each different word once; the words of all shards
-together make the global dictionary (sorted, numbered), and each shard's numbers are then replaced by global ones. A shard is a matrix in
+Texts are gathered into shards. A shard counts its words under numbers of its own and lists each different word once, by bucket of its checksum; a bucket
+sorts and numbers the words of all shards, which makes the global dictionary, and each shard's numbers are then replaced by global ones. A shard is a matrix in
 compressed sparse rows: `indptr` (where a document's entries start), `indices` (word numbers) and `counts`. Row sums are a document's words,
 numbers of entries its different words; these decide the two filters on words. The other filters' flags come with the shard or by a join.
 
@@ -20,6 +20,7 @@ import hashlib
 import itertools
 import json
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.batches import saved, slices
+from tidelog.llm.exchange import ROWS, grouped, meet, planes, rows_out, unplanes
 
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 100, 80, 10, "#$%&*|"
-SHARD_BYTES = 4_000_000
-SHARD = (
-    "shard long, ids array<long>, parts array<string>, capitals array<boolean>, signs array<boolean>, digests array<binary>, "
-    "indptr array<int>, indices binary, counts binary, words array<binary>"
-)
+#: Bytes of text in a shard; words that a bucket of the dictionary lists on average.
+SHARD_BYTES, BUCKET_WORDS = 4_000_000, 250_000
 
 
 class Vocabulary(dict):
@@ -68,8 +67,8 @@ def flagged(texts: pa.Array, capital_percent: int, signs: str) -> tuple[np.ndarr
     return 100 * capitals > capital_percent * points, count(np.isin(byte, list(signs.encode()))) > 0
 
 
-def shards(df: DataFrame, capital_percent: int, signs: str, size: int) -> DataFrame:
-    """Shards of (doc_id, part, text) with numbers of their own."""
+def shards(df: DataFrame, capital_percent: int, signs: str, size: int, buckets: int) -> DataFrame:
+    """Shards of (doc_id, part, text): the matrix under numbers of its own, its documents, and its words by bucket, in the order of these numbers."""
 
     def run(batches):
         number = TaskContext.get().partitionId() << 33
@@ -80,66 +79,74 @@ def shards(df: DataFrame, capital_percent: int, signs: str, size: int) -> DataFr
                 capitals, marked = flagged(texts, capital_percent, signs)
                 indptr, indices, counts, words = matrix_rows(plain)
                 digests = [hashlib.blake2b(t, digest_size=16).digest() for t in plain]
-                row = [number, part.column(0).to_pylist(), part.column(1).to_pylist(), capitals.tolist(), marked.tolist(), digests, indptr.tolist(), indices.tobytes(), counts.tobytes(), words]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, KINDS, strict=True)], names=NAMES)
+                docs = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(capitals), pa.array(marked), pa.array(digests, pa.binary(16))], names=DOCS)
+                # Words by bucket, sorted inside it.
+                bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=len(words))
+                order = sorted(range(len(words)), key=words.__getitem__)
+                order = np.array(order, dtype=np.int64)[np.argsort(bucket[order], kind="stable")] if words else bucket
+                place = np.empty(len(words), dtype=np.int32)
+                place[order] = np.arange(len(words))
+                rows = [(number, -1, docs.serialize().to_pybytes(), planes(indptr), planes(place[indices]), planes(counts))]
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                listed = [words[i] for i in order]
+                rows += [(number, b, b" ".join(listed[cuts[b] : cuts[b + 1]]), b"", b"", b"") for b in np.flatnonzero(np.diff(cuts)).tolist()]
+                yield rows_out(rows)
                 number += 1
 
-    return df.mapInArrow(run, SHARD)
+    return df.mapInArrow(run, ROWS)
 
 
-NAMES = ["shard", "ids", "parts", "capitals", "signs", "digests", "indptr", "indices", "counts", "words"]
-KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+DOCS = ["doc_id", "part", "capitals", "signs", "digest"]
 
 
-def dictionary(local: DataFrame) -> DataFrame:
-    """All different words of the shards in sorted order, numbered: word, number."""
-    words = local.select(F.explode("words").alias("word")).distinct()
-    return words.repartitionByRange("word").sortWithinPartitions("word").withColumn("number", F.monotonically_increasing_id())
+def numbers(group: list[dict]):
+    """Of one bucket of the dictionary: the numbers of each shard's words, and (slice -1) the different words in the order of their numbers."""
+    lists = [r["a"].split(b" ") for r in group]
+    words = sorted(set().union(*lists))
+    number = dict(zip(words, range(group[0]["bucket"] << 40, (group[0]["bucket"] << 40) + len(words)), strict=True))
+    out = [(r["slice"], r["bucket"], planes(np.fromiter(map(number.__getitem__, x), dtype=np.int64, count=len(x))), b"", b"", b"") for r, x in zip(group, lists, strict=True)]
+    yield rows_out([*out, (-1, group[0]["bucket"], b" ".join(words), b"", b"", b"")])
 
 
-def document_term_matrix(local: DataFrame, words: DataFrame) -> DataFrame:
-    """The shards with global word numbers (64 bits) in `indices`."""
-    listed = local.select("shard", F.posexplode("words").alias("at", "word"))
-    globals_ = listed.join(words, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "number"))).alias("_of"))  # one shard's words
-    numbered = local.drop("words").join(globals_.select("shard", F.col("_of.number").alias("_of")), "shard", "left")
-    kept = [c for c in numbered.columns if c != "_of"]
-    at = kept.index("indices")
+def encoded(group: list[dict]):
+    """A shard with global word numbers."""
+    row, of = group[0], [unplanes(r["a"]) for r in group[1:]]
+    indices = np.concatenate(of)[unplanes(row["c"])] if of else np.zeros(0, dtype=np.int64)
+    yield rows_out([(row["slice"], -1, row["a"], row["b"], planes(indices), row["d"])])
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                of = np.asarray(row.column(len(kept)).flatten(), dtype=np.int64)
-                indices = np.frombuffer(row.column(at)[0].as_py(), "<i4")
-                columns = [row.column(k) for k in range(len(kept))]
-                columns[at] = pa.array([of[indices].tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays(columns, names=kept)
 
-    return numbered.select(*kept, "_of").mapInArrow(run, numbered.select(*kept).schema)
+def document_term_matrix(df: DataFrame, capital_percent: int = CAPITAL_PERCENT, signs: str = SIGNS, size: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The matrix of (doc_id, part, text) in shards: documents (a), indptr (b), indices (c) and counts (d) as planes of 64-bit integers; and the dictionary:
+    per bucket the words (a) whose numbers count up from bucket * 2^40."""
+    # A text has about one word that its shard has not met in 16 bytes, at most.
+    total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, total // 16 // BUCKET_WORDS)
+    local = saved(shards(df, capital_percent, signs, size, buckets), "shards")
+    said = saved(meet(local.where("bucket >= 0"), "bucket", "slice", numbers), "word_numbers")
+    return meet(local.where("bucket < 0").unionAll(said.where("slice >= 0")), "slice", "bucket", encoded), said.where("slice < 0")
 
 
 def word_counts(matrix: DataFrame) -> DataFrame:
     """Per document of the matrix: doc_id, part, capitals, signs, digest, n_words (row sum) and n_distinct (entries)."""
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                indptr = np.asarray(row.column("indptr").flatten(), dtype=np.int64)
-                total = np.concatenate([[0], np.cumsum(np.frombuffer(row.column("counts")[0].as_py(), "<i4"))])
-                columns = [row.column(c).flatten() for c in ("ids", "parts", "capitals", "signs", "digests")]
-                columns += [pa.array(np.diff(total[indptr]), pa.int64()), pa.array(np.diff(indptr), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "capitals", "signs", "digest", "n_words", "n_distinct"])
+        for (row,) in grouped(batches, "slice"):
+            docs = pa.ipc.read_record_batch(pa.py_buffer(row["a"]), DOCS_SCHEMA)
+            indptr = unplanes(row["b"])
+            total = np.concatenate([[0], np.cumsum(unplanes(row["d"]))])
+            columns = [*docs.columns[:4], docs.column(4).cast(pa.binary()), pa.array(np.diff(total[indptr]), pa.int64()), pa.array(np.diff(indptr), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*DOCS, "n_words", "n_distinct"])
+
+    return matrix.mapInArrow(run, "doc_id long, part string, capitals boolean, signs boolean, digest binary, n_words long, n_distinct long")
+
 
-    schema = "doc_id long, part string, capitals boolean, signs boolean, digest binary, n_words long, n_distinct long"
-    return matrix.select("ids", "parts", "capitals", "signs", "digests", "indptr", "counts").mapInArrow(run, schema)
+DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.string()), ("capitals", pa.bool_()), ("signs", pa.bool_()), ("digest", pa.binary(16))])
 
 
 def failures(df: DataFrame, part: str, least_words: int = LEAST_WORDS, distinct_percent: int = DISTINCT_PERCENT, capital_percent: int = CAPITAL_PERCENT, signs: str = SIGNS) -> DataFrame:
     """Per row of `df` (doc_id, text, `part`): doc_id, part, n_words, n_distinct and which of the filters A to E fail it."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
-    local = saved(shards(docs, capital_percent, signs, SHARD_BYTES), "shards")
-    matrix = document_term_matrix(local, saved(dictionary(local), "dictionary"))
+    matrix, _ = document_term_matrix(docs, capital_percent, signs)
     # Written, so that a hot digest's rows can be split between tasks of the join.
     counted = saved(word_counts(matrix), "word_counts")
     first = counted.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest", "_first")
