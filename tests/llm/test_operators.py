@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -278,15 +279,91 @@ def test_fold_is_the_crc_of_the_id_as_text(spark):
 # 5, 8: repeated units and lines
 
 
+def plain_passages(rows, min_words):
+    """Character spans to be removed, by place in `rows` (id, text): seeds, extended word by word against units beside the first, chained."""
+    units = []
+    for key, text in rows:
+        found, at = [], 0
+        for unit in re.split(r"\n+|(?<=[.!?,;:])\s+", (text or "").lower()):
+            if unit.split():
+                found.append((at, unit.split()))
+                at += len(unit.split())
+        units.append(found)
+
+    def rank(k, place):
+        key, text = rows[k]
+        hashed = int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=8).digest(), "little", signed=True)
+        return (float("inf") if key is None else key, hashed, place)
+
+    first = {}
+    for k, found in enumerate(units):
+        for j, (at, words) in enumerate(found):
+            first[tuple(words)] = min(first.get(tuple(words), ((float("inf"), 1 << 64, 0), 0, 0)), (rank(k, at), k, j))
+    out = []
+    for k, found in enumerate(units):
+        words, runs = [w for _, u in found for w in u], {}
+        for at, unit in found:
+            keep, m, j = first[tuple(unit)]
+            if keep == rank(k, at):
+                continue
+            a, b = at, at + len(unit)
+            if keep[:2] != rank(k, 0)[:2]:
+                source = [w for _, u in units[m] for w in u]
+                low = units[m][max(0, j - substring.BESIDE)][0]
+                high = units[m][j + 1 + substring.BESIDE][0] if j + 1 + substring.BESIDE < len(units[m]) else len(source)
+                x, y = keep[2] - 1, keep[2] + len(unit)
+                while a > 0 and x >= low and words[a - 1] == source[x]:
+                    a, x = a - 1, x - 1
+                while b < len(words) and y < high and words[b] == source[y]:
+                    b, y = b + 1, y + 1
+            runs.setdefault((keep[:2], keep[2] - at), []).append(set(range(a, b)))
+        gone = set()
+        for parts in runs.values():
+            marked = sorted(set().union(*parts))
+            start = 0
+            for i in range(1, len(marked) + 1):
+                if i == len(marked) or marked[i] != marked[i - 1] + 1:
+                    if i - start >= min_words:
+                        gone.update(marked[start:i])
+                    start = i
+        where = [m.span() for m in re.finditer(r"\S+", rows[k][1] or "")]
+        spans = []
+        for w in sorted(gone):
+            if spans and w - 1 in gone:
+                spans[-1][1] = where[w][1] - spans[-1][0]
+            else:
+                spans.append([where[w][0], where[w][1] - where[w][0]])
+        out.append([tuple(s) for s in spans])
+    return out
+
+
 def test_repeated_passages_go(odd, empty):
-    rows = substring.deduplicate(odd).orderBy("doc_id").collect()
+    rows = substring.deduplicate(odd).collect()
     assert len(rows) == len(ODD)
     by_id = {r.doc_id: r for r in rows}
-    assert by_id[11].text == "x\ny" and [(s.start, s.length, s.keep_id) for s in by_id[11].removed] == [(2, len(PASSAGE), 10)]
+    assert by_id[11].text == "x\n\ny" and [(s.start, s.length, s.keep_id) for s in by_id[11].removed] == [(2, len(PASSAGE), 10)]
     assert all(r.text == dict(ODD)[r.doc_id] and not r.removed for r in rows if r.doc_id != 11)
     assert substring.deduplicate(empty).count() == 0
 
 
+@pytest.mark.parametrize("least", [4, 9])
+def test_passages_are_followed_to_their_ends(spark, least):
+    draw = random.Random(least)
+    source = [draw.choice("abcdefg") * draw.randint(1, 2) + draw.choice(["", "", "", ".", ",", "\n"]) for _ in range(200)]
+    rows = []
+    for i in range(40):
+        own = [f"{draw.choice('rstuv')}{draw.randint(0, 5)}{draw.choice(['', '', '. '])}" for _ in range(draw.randint(0, 20))]
+        for _ in range(draw.randint(0, 2)):
+            a, at = draw.randrange(180), draw.randint(0, len(own))
+            own[at:at] = source[a : a + draw.randint(3, 20)]
+        rows.append((draw.choice([i, i, i, 7, None]), " ".join(own)))
+    want = plain_passages(rows, least)
+    got = sorted(((r.doc_id, r.text, [(s.start, s.length) for s in r.removed]) for r in substring.deduplicate(docs(spark, rows), least, slice_bytes=200).collect()), key=str)
+    cut = ["".join(c for i, c in enumerate(t) if not any(a <= i < a + n for a, n in spans)) for (_, t), spans in zip(rows, want, strict=True)]
+    assert got == sorted(((k, t, s) for (k, _), t, s in zip(rows, cut, want, strict=True)), key=str)
+    assert any(want)
+
+
 def plain_line_dedup(rows, n):
     """Positions to delete: those in a run of n lines that has started before."""
     seen, out = set(), {}
@@ -453,21 +530,16 @@ def test_stages_on_the_given_documents(spark, tmp_path):
         elif k == 2:
             want = {i: rows[i] for i, c, _ in plain_join(sorted(rows.items())) if i == c}
         elif k == 3:
-            want, seen = {}, set()
-            for i, t in sorted(rows.items()):
-                kept = []
-                for unit in t.split("\n"):
-                    words = tuple(unit.lower().split())
-                    if len(words) < substring.MIN_WORDS or words not in seen:
-                        kept.append(unit)
-                        seen.add(words)
-                want[i] = "\n".join(kept)
+            order = sorted(rows.items())
+            spans = plain_passages(order, substring.MIN_WORDS)
+            want = {i: substring.cut(t, [{"start": a, "length": n} for a, n in s]) for (i, t), s in zip(order, spans, strict=True)}
+            assert {r.doc_id: r.n_removed for r in after.collect()} == {i: len(s) for (i, _), s in zip(order, spans, strict=True)}
         else:
             assert {r.doc_id for r in after.collect()} == set(rows)
             break
         after.write.parquet(str(tmp_path / str(k)))
         before = spark.read.parquet(str(tmp_path / str(k)))
-        assert before.columns == corpus_pipeline.COLUMNS
+        assert before.columns[: len(corpus_pipeline.COLUMNS)] == corpus_pipeline.COLUMNS
         assert {r.doc_id: r.text for r in before.collect()} == want, name
     assert set(want) <= set(given)
 

@@ -62,35 +62,6 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), keep.alias("keep_ids"))
 
 
-# A unit's place is (doc_id, start); chr(10) splits, white space is what the operator collapses.
-OP5_SQL = """
-WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS units FROM documents),
-units AS (
-  SELECT doc_id, i, units[i] AS unit,
-    CAST(coalesce(list_sum(list_transform(units[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start
-  FROM docs, unnest(range(1, len(units) + 1)) AS u(i)
-),
-normal AS (SELECT *, trim(regexp_replace(lower(unit), '\\s+', ' ', 'g')) AS norm FROM units),
-long_units AS (SELECT * FROM normal WHERE norm <> '' AND len(string_split(norm, ' ')) >= 50),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) AS k,
-    first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id, start) AS keep_id
-  FROM long_units
-),
-gone AS (
-  SELECT doc_id, count(*) AS n, list(i) AS places,
-    string_agg(start || '+' || length(unit), ',' ORDER BY start) AS spans,
-    string_agg(CAST(keep_id AS VARCHAR), ',' ORDER BY start) AS keep_ids
-  FROM placed WHERE k > 1 GROUP BY doc_id
-)
-SELECT d.doc_id,
-  CASE WHEN g.n IS NULL THEN d.text ELSE
-    array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(g.places, i)), chr(10)) END AS text,
-  coalesce(g.n, 0) AS n_removed, coalesce(g.spans, '') AS removed_spans, coalesce(g.keep_ids, '') AS keep_ids
-FROM documents d LEFT JOIN gone g USING (doc_id)
-"""
-
-
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(documents(spark, sf_dir))
 
@@ -287,4 +258,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_quality, op4_toxicity, op5_substring_dedup, op6_exact_dedup, op7_topk, op8_line_dedup, op9_language, op10_jaccard_join, op11_suffix_dedup, op12_filter_audit, op13_prefix_trie, pipeline)}
-ORACLE = {"op5_substring_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_topk": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_suffix_dedup": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_prefix_trie": OP13_SQL}
+ORACLE = {"op6_exact_dedup": OP6_SQL, "op7_topk": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_suffix_dedup": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_prefix_trie": OP13_SQL}
