@@ -38,7 +38,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return trimmed(substring.deduplicate(docs))
+    """Texts without passages that an earlier document holds, and `n_removed`, the number of spans cut from each; those that lose all words go."""
+    left = substring.deduplicate(docs.select(COLUMNS)).where((F.size("removed") == 0) | F.col("text").rlike(r"\S"))
+    cut = F.size("removed") > 0
+    return left.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS, F.size("removed").cast("long").alias("n_removed"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
