@@ -15,13 +15,18 @@ NAMES = ["slice", "bucket", "a", "b", "c", "d"]
 KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
+SMALL = 512
+
+
 def planes(x: np.ndarray) -> bytes:
-    """Integers as planes of bytes, which compress well where the leading bytes agree."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Integers as planes of bytes, which compress well where the leading bytes agree. Longer ones are compressed; the first byte says so."""
+    data = np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return b"\0" + data if len(data) < SMALL else b"\1" + len(data).to_bytes(8, "little") + packed(data)
 
 
 def unplanes(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    data = np.frombuffer(x, np.uint8)[1:] if x[0] == 0 else unpacked(x[9:], int.from_bytes(x[1:9], "little"))
+    return np.ascontiguousarray(data.reshape(8, -1).T).view("<i8").ravel()
 
 
 def packed(data: bytes) -> bytes:
@@ -48,6 +53,7 @@ def grouped(batches, key: str):
                 group = []
             here = row[key]
             group.append(row)
+        pa.default_memory_pool().release_unused()
     if group:
         yield group
 
