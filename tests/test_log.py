@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,11 +41,22 @@ def test_a_plan_beyond_the_limit_joins_by_shuffle(spark, parquet_log, monkeypatc
     log = read_parquet_log(spark, parquet_log)
     plan = plan_splits(parse_offsets(offset_strings(spark, [f"{p}:3:40" for p in range(4)])), [{"rate": 0.5}])
     want = sorted(map(tuple, read_ranges(log, plan).select("split_idx", "partition", "offset").collect()))
-    monkeypatch.setattr(log_module, "small_table", lambda df: small_table(df, 2))
+    monkeypatch.setattr(log_module, "broadcast_limit", lambda spark: 2 * log_module.RANGE_BYTES)
     got = sorted(map(tuple, read_ranges(log, plan).select("split_idx", "partition", "offset").collect()))
     assert got == want
 
 
+def test_many_ranges_of_one_partition_meet_in_cells(spark):
+    draw = random.Random(4)
+    spans = [(a, a + draw.choice([0, 1, 3, 9, 40, 2500])) for a in (draw.randint(-50, 3000) for _ in range(400))]
+    plan = local_table(spark, [{"split_idx": i, "partition": i % 2 and 7, "start_offset": a, "end_offset": b} for i, (a, b) in enumerate(spans)], "split_idx int, partition int, start_offset bigint, end_offset bigint")
+    log = spark.range(-100, 6000, 3).select(F.col("id").alias("offset"), F.lit(7).alias("partition"))
+    got = sorted((r["split_idx"], r["offset"]) for r in read_ranges(log, plan).collect())
+    assert got == sorted((i, o) for i, (a, b) in enumerate(spans) if i % 2 for o in range(-100, 6000, 3) if a <= o <= b)
+    leveled = plan.withColumn("_level", F.length(F.conv(F.col("end_offset") - F.col("start_offset"), 10, 2)))
+    assert 1 < len(log_module.cell_levels(leveled)) < 6
+
+
 def test_many_partitions_keep_their_own_bounds(spark):
     rows = [{"partition": p, "start_offset": p, "end_offset": p + 5} for p in range(300)]
     df = spark.range(10).select(F.lit(0).alias("partition"), F.col("id").alias("offset"))

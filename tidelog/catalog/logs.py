@@ -132,6 +132,23 @@ def split_apply(spark, sf_dir):
     )
 
 
+@query(
+    "split_apply_many",
+    with_views(
+        """SELECT split_idx, count(*) AS n, min(m."offset") AS first_offset, max(m."offset") AS last_offset FROM message_log m
+           JOIN (SELECT p_partkey AS split_idx, p_partkey AS start_offset, p_partkey + p_size * p_size AS end_offset FROM part) p
+           ON m."partition" = 0 AND m."offset" BETWEEN p.start_offset AND p.end_offset GROUP BY 1""",
+        "message_log",
+    ),
+)
+def split_apply_many(spark, sf_dir):
+    """One range for each part, all on one partition."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    ranges = v.table(spark, sf_dir, "part").select(key.alias("split_idx"), F.lit(0).alias("partition"), key.alias("start_offset"), (key + size * size).alias("end_offset"))
+    held = read_ranges(v.message_log(spark, sf_dir), ranges)
+    return held.groupBy("split_idx").agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
+
+
 @query(
     "range_pull",
     with_views(

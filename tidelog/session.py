@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -43,13 +46,17 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one only where none is set."""
+    """The folder all executors share, as the cluster names it. Only a session in one process may do without: it gets a temporary folder
+    that goes when the process ends; on a cluster other machines would not see it, so there it is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback_dirs:
         _fallback_dirs[app] = tempfile.mkdtemp(prefix="tidelog-")
+        atexit.register(shutil.rmtree, _fallback_dirs[app], ignore_errors=True)
     return _fallback_dirs[app]
 
 
@@ -58,6 +65,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back, so that several readers share one computation and none depends on the executors that made it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which the session broadcasts a table."""
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
 def checked_rows(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> list | None:
     """Rows of a table that is expected to be small, or None if it holds more than `limit`."""
     rows = df.limit(limit + 1).collect()

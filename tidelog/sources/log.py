@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.session import small_table
+from tidelog.session import broadcast_limit, small_table
+
 
 def kafka_offset_options(topic: str, ranges: dict[int, tuple[int, int]]) -> dict[str, str]:
     """Start and end maps for the Kafka source, from end-inclusive ranges."""
@@ -64,20 +65,63 @@ def range_bounds(rows) -> Column:
     return bounds[0]
 
 
+#: A planned range travels as four numbers.
+RANGE_BYTES = 40
+#: So many ranges may share a cell with larger ones before they get a cell size of their own.
+CELL_RANGES = 64
+
+
+def cell_levels(ranges: DataFrame) -> list[int]:
+    """Powers of two that serve as cell sizes. A range goes to the least that is not shorter than itself; sizes with few ranges are raised to the next."""
+    counts = ranges.groupBy("_level").agg(F.count(F.lit(1)).alias("n")).orderBy("_level").collect()  # at most 64
+    levels, below = [], 0
+    for i, row in enumerate(counts):
+        if i + 1 < len(counts) and below + row["n"] <= CELL_RANGES:
+            below += row["n"]
+        else:
+            levels.append(row["_level"])
+            below = 0
+    return levels
+
+
+def in_cells(ranges: DataFrame, levels: list[int]) -> DataFrame:
+    """One or two cells for each range, of the size that serves its length."""
+    size = F.lit(levels[-1])
+    for level in reversed(levels[:-1]):
+        size = F.when(F.col("_level") <= level, level).otherwise(size)
+    sized = ranges.withColumn("_level", size.cast("int"))
+    first, last = (F.expr(f"shiftright({c}, _level)") for c in ("start_offset", "end_offset"))
+    return sized.withColumn("_cell", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))))
+
+
+def interval_join(log: DataFrame, ranges: DataFrame, levels: list[int]) -> DataFrame:
+    """Rows of `log` (partition, offset) with every range (partition, start_offset, end_offset) that holds their offset.
+
+    Both sides meet by (partition, cell size, cell), so a message is compared with the ranges near its offset, not with all of its partition, and a
+    partition with most of the messages is spread over its cells. A message looks into one cell per size.
+    """
+    cells = in_cells(ranges, levels)
+    one = F.lit(levels[0]) if len(levels) == 1 else F.explode(F.array(*[F.lit(x) for x in levels]))
+    probed = log.withColumn("_level", one.cast("int")) if len(levels) == 1 else log.withColumn("_level", one)
+    probed = probed.withColumn("_cell", F.expr("shiftright(CAST(offset AS BIGINT), _level)"))
+    hit = F.col("offset").between(F.col("start_offset"), F.col("end_offset"))
+    return probed.join(cells, ["partition", "_level", "_cell"]).where(hit).drop("_level", "_cell", "start_offset", "end_offset")
+
+
 def read_ranges(log: DataFrame, plan: DataFrame) -> DataFrame:
     """Every message joined to the split or splits whose range holds its offset.
 
-    The plan is small (splits x log partitions) and its size is checked: it becomes a local relation that broadcasts on
-    its exact size, with its bounds pushed into the scan as literals. A larger plan joins by shuffle on the partition.
+    A plan whose bytes are below the session's broadcast limit becomes a local relation, which broadcasts on its exact size, with its bounds
+    pushed into the scan as literals. A larger one stays where it is. Either way messages and ranges meet in cells of offsets.
     """
-    ranges, rows = small_table(
-        plan.where(F.col("start_offset") <= F.col("end_offset")).select(
-            "split_idx", "partition", "start_offset", "end_offset"
-        )
+    planned = plan.where(F.col("start_offset") <= F.col("end_offset")).select(
+        "split_idx", "partition", F.col("start_offset").cast("bigint").alias("start_offset"), F.col("end_offset").cast("bigint").alias("end_offset")
     )
+    ranges, rows = small_table(planned, max(1, broadcast_limit(plan.sparkSession) // RANGE_BYTES))
     bounded = log if rows is None else log.where(range_bounds(rows))
-    hit = F.col("offset").between(F.col("start_offset"), F.col("end_offset"))
-    return bounded.join(ranges, "partition").where(hit).drop("start_offset", "end_offset")
+    # The least power of two that is not shorter than the range.
+    leveled = ranges.withColumn("_level", F.length(F.conv(F.col("end_offset") - F.col("start_offset"), 10, 2)))
+    return interval_join(bounded, leveled, cell_levels(leveled) or [1])
 
 
 def log_offsets(log: DataFrame) -> DataFrame:
