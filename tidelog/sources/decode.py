@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.schemas import JSON_SAMPLE, Payload
-from tidelog.session import small_table
+from tidelog.session import stored
 from tidelog.sources.avro import decode_samples
 
 CORRUPT = "_corrupt"
@@ -25,18 +28,19 @@ def decode_json(df: DataFrame, payload: Payload, value: str = "value") -> DataFr
             T.StructField(payload.label_field, JSON_SAMPLE["y"].dataType),
         ]
     )
-    # The body is parsed as the one element of an array: a bare parse would stop at the end of the first object and
-    # accept whatever follows it. It stands in an object too: text that closes the array itself breaks the object there. The
-    # digest at the end shows that the parse came to the end: text that closes everything cannot hold its own digest.
-    wrapped = T.StructType(
-        [T.StructField("body", T.ArrayType(fields)), T.StructField("end", T.StringType()), T.StructField(CORRUPT, T.StringType())]
-    )
-    raw = F.col(value).cast("string")
-    text = F.concat(F.lit('{"body":['), raw, F.lit('],"again":{"body":'), raw, F.lit('},"end":"'), F.md5(F.col(value).cast("binary")), F.lit('"}'))
+    # The body is parsed once, as the middle of three elements: a bare parse would stop at the end of the first object and accept
+    # whatever follows it. The outer elements hold a mark drawn when the query is built. Text that closes the array and opens another one
+    # cannot put the mark at its start, so exactly three elements with the mark at both ends mean one whole body.
+    seal = "_end" if "_end" not in fields.names else "_".join(fields.names) + "_end"
+    mark = secrets.token_hex(16)
+    wrapped = T.StructType([T.StructField("parts", T.ArrayType(T.StructType([*fields, T.StructField(seal, T.StringType())]))), T.StructField(CORRUPT, T.StringType())])
+    end = json.dumps({seal: mark})
+    text = F.concat(F.lit(f'{{"parts":[{end},'), F.col(value).cast("string"), F.lit(f",{end}]}}"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
-    body = F.get("_parsed.body", F.lit(0))
-    whole = F.col(f"_parsed.{CORRUPT}").isNull() & (F.size("_parsed.body") == 1) & body.isNotNull()
-    whole = whole & (F.col("_parsed.end") == F.md5(F.col(value).cast("binary")))
+    parts = F.col("_parsed.parts")
+    body = F.get(parts, F.lit(1))
+    whole = F.col(f"_parsed.{CORRUPT}").isNull() & (F.size(parts) == 3) & body.isNotNull()
+    whole = whole & (F.get(parts, F.lit(0))[seal] == mark) & (F.get(parts, F.lit(2))[seal] == mark)
     # Parsing goes through a generator: a filter on its result would otherwise move below it and parse every body again.
     return (
         df.withColumn("_parsed", F.explode(F.array(F.from_json(text, wrapped, options))))
@@ -82,14 +86,13 @@ def dead_letter(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 def strict_prefix(decoded: DataFrame, keys: tuple[str, ...] = ("split_idx", "partition")) -> DataFrame:
     """Per range, keep only what precedes its first bad message.
 
-    First-bad offsets are a partial aggregate with at most one row per planned range; their number is checked and they
-    broadcast as a local relation.
+    Rows are decoded once and written; the bad offsets and the rows before them are read from there. First-bad offsets are a partial aggregate
+    with at most one row per range.
     """
-    first_bad, _ = small_table(
-        decoded.where("is_bad").groupBy(*keys).agg(F.min("offset").alias("_first_bad"))
-    )
+    rows = stored(decoded, "decoded")
+    first_bad = rows.where("is_bad").groupBy(*keys).agg(F.min("offset").alias("_first_bad"))
     return (
-        decoded.join(first_bad, list(keys), "left")
+        rows.join(first_bad, list(keys), "left")
         .where(F.col("_first_bad").isNull() | (F.col("offset") < F.col("_first_bad")))
         .drop("_first_bad", "is_bad")
     )
