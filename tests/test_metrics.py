@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import metrics as mt
 from tidelog.operators import timing as tm
+from tidelog.operators.ordered import with_previous_scan
 from tidelog.session import local_table
 
 COLUMNS = "phase string, epoch int, rank int, name string, value double"
@@ -80,7 +81,7 @@ def events(spark, *rows):
     )
 
 
-HOUR = tm.SLICE_MICROS
+HOUR = 3_600_000_000
 
 
 def test_timer_rules(spark):
@@ -103,15 +104,33 @@ def test_timer_rules(spark):
     assert looked_up == {"a": 3e-6, "zz": 0.0}
 
 
-@pytest.mark.parametrize("slice_micros", [1, 7, 1000])
-def test_slices_do_not_change_pairs(spark, slice_micros):
-    rows = [("hot" if i % 3 else "cold", "end" if (i * 7) % 5 < 2 else "start", (i * 37) % 400) for i in range(300)]
-    df = events(spark, *rows)
-    want = sorted(map(tuple, tm.pair_timers(df)[0].collect()))
-    assert sorted(map(tuple, tm.pair_timers(df, slice_micros)[0].collect())) == want
+@pytest.mark.parametrize("tasks", [1, 3, 16])
+@pytest.mark.parametrize("spread", [400, 1])
+def test_a_hot_name_spreads_over_tasks(spark, tasks, spread):
+    rows = [("hot" if i % 10 else None if i % 20 else "cold", "end" if (i * 7) % 5 < 2 else "start", (i * 37) % spread) for i in range(600)]
+    before, want = {}, []
+    for seq, (name, kind, ts) in sorted(enumerate(rows), key=lambda r: (r[1][2], r[0])):
+        kind_before, ts_before = before.get(name, (None, 0))
+        if kind == "end" and kind_before == "start":
+            want.append((name, seq, ts_before, ts, ts - ts_before))
+        before[name] = (kind, ts)
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ordered = with_previous_scan(events(spark, *rows), ["name"], ["ts_us", "seq"], ["kind", "ts_us"])
+        got = [tuple(r) for r in tm.pair_timers(events(spark, *rows))[0].collect()]
+        assert ordered.columns == ["name", "kind", "ts_us", "seq", "prev"] and ordered.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert len(want) > 20
 
 
+def test_previous_scan_of_an_empty_table(spark):
+    assert with_previous_scan(events(spark, ("a", "start", 1)).where("false"), ["name"], ["ts_us"], ["kind"]).count() == 0
+
+
 def test_epoch_times(spark):
     df = events(spark, ("run", "start", 0), ("run", "end", 2_000_000), ("run", "end", 3_000_000), ("run", "start", 4_000_000))
     row = tm.epoch_times(df).first()

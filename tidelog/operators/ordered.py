@@ -6,10 +6,15 @@ of rows per value. Windows run inside (keys, bucket); only one summary row per b
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions.lets import idiv
+from tidelog.session import stored
 
 # 16^4 buckets: about 15 million rows each at 10^12 rows.
 HASH_DIGITS = 4
@@ -86,3 +91,49 @@ def with_previous(
         .withColumn(name, F.coalesce("_lag", "_carry"))
         .drop("_bucket", "_lag", "_carry")
     )
+
+
+def _preceding(keys: int, columns: int, schema: T.StructType):
+    """Per task, over rows sorted by their leading `keys` columns and an order: the number of the task, whether a row is the first of its key here, and
+    the `columns` that follow the keys from the row before it."""
+
+    def run(batches):
+        part, tail = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last row of the batch before stands in front, so that a shift by one row crosses batches.
+            rows = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
+            tail = batch.slice(batch.num_rows - 1)
+            here, before = rows.slice(rows.num_rows - batch.num_rows), rows.slice(0, rows.num_rows - 1)
+            same = pa.chunked_array([pa.array([True] * before.num_rows, pa.bool_())])
+            for k in range(keys):
+                a, b = before.column(k), rows.column(k).slice(1)
+                nulls = pc.and_(pc.is_null(a), pc.is_null(b))
+                same = pc.and_(same, pc.or_(pc.fill_null(pc.equal(a, b), False), nulls))
+            missing = batch.num_rows - before.num_rows  # 1 for the first row of the task
+            first = pa.chunked_array([pa.array([True] * missing, pa.bool_()), *pc.invert(same).chunks])
+            shifted = [pa.chunked_array([pa.nulls(missing, before.schema.types[k]), *before.column(k).chunks]) for k in range(keys, keys + columns)]
+            task = pa.chunked_array([pa.array([part] * batch.num_rows, pa.int32())])
+            yield from pa.Table.from_arrays([*here.columns, *shifted, task, first], names=schema.names).combine_chunks().to_batches()
+
+    return run
+
+
+def with_previous_scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str = "prev") -> DataFrame:
+    """Add a struct of `columns` from the preceding row within `keys`, null for the first, by a segmented scan.
+
+    Rows are dealt to tasks by ranges of (keys, order) with sampled bounds, so that a key with most of the rows spreads over many tasks whatever
+    its order column looks like. A task looks back within its own rows; of each key it hands on its last row, and the first row of a key in a
+    task takes what the nearest task before it has handed on. There is at most one such row per key and task. Rows are written once.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in columns]
+    fed = df.select(*keys, *columns, *rest).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    before = [f"_before_{c}" for c in columns]
+    schema = T.StructType([*fed.schema, *[T.StructField(b, fed.schema[c].dataType) for b, c in zip(before, columns, strict=True)], T.StructField("_part", T.IntegerType()), T.StructField("_first", T.BooleanType())])
+    rows = stored(fed.mapInArrow(_preceding(len(keys), len(columns), schema), schema), "ordered")
+    tails = rows.groupBy(*keys, "_part").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_tail"))
+    handed = tails.select(*keys, "_part", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_part")).alias(name))
+    heads = _joined(rows.where("_first"), handed, [*keys, "_part"])
+    inner = rows.where("not _first").withColumn(name, F.struct(*[F.col(b).alias(c) for b, c in zip(before, columns, strict=True)]))
+    return heads.unionByName(inner).select(*df.columns, name)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.lets import idiv, ratio
 from tidelog.operators.assemble import LOADERS, per_worker_batch, role_of
-from tidelog.operators.ordered import with_previous
+from tidelog.operators.ordered import with_previous_scan
 from tidelog.operators.quantiles import exact_quantiles, range_columns
 from tidelog.operators.stats import name_table
 from tidelog.plans.splits import normalize_splits
@@ -20,30 +20,18 @@ from tidelog.session import checked_rows, local_table, small_table
 from tidelog.sources.decode import decode
 from tidelog.sources.log import read_ranges
 
-# Length of the time slices in which timer events are ordered.
-SLICE_MICROS = 3_600_000_000
 
-
-def _with_previous_event(events: DataFrame, slice_micros: int) -> DataFrame:
-    return with_previous(
-        events,
-        ["name"],
-        ["ts_us", "seq"],
-        idiv("ts_us", slice_micros),
-        ["kind", "ts_us"],
-    )
+def _with_previous_event(events: DataFrame) -> DataFrame:
+    return with_previous_scan(events, ["name"], ["ts_us", "seq"], ["kind", "ts_us"])
 
 
-def pair_timers(events: DataFrame, slice_micros: int = SLICE_MICROS) -> tuple[DataFrame, DataFrame]:
+def pair_timers(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Completed timers and unmatched ends from columns name, kind (start or end), ts_us, seq.
 
     An end closes the timer only if the event before it under the same name is a start, so a second start overwrites the
-    first and a second end is unmatched. Events are ordered inside (name, time slice); slices pass on their last event only,
-    so a name with most of the events is still spread over many tasks.
+    first and a second end is unmatched. A name with most of the events, even inside one moment, is spread over many tasks.
     """
-    ends = _with_previous_event(events.select("name", "kind", "ts_us", "seq"), slice_micros).where(
-        F.col("kind") == "end"
-    )
+    ends = _with_previous_event(events.select("name", "kind", "ts_us", "seq")).where(F.col("kind") == "end")
     opened = F.coalesce(F.col("prev.kind") == "start", F.lit(False))
     pairs = ends.where(opened).select(
         "name",
@@ -82,9 +70,9 @@ def timer_lookup(pairs: DataFrame, names: list) -> DataFrame:
     )
 
 
-def epoch_times(events: DataFrame, slice_micros: int = SLICE_MICROS) -> DataFrame:
+def epoch_times(events: DataFrame) -> DataFrame:
     """Per run: epochs started and completed, total and average epoch time. Unmatched ends are ignored."""
-    ordered = _with_previous_event(events.select("name", "kind", "ts_us", "seq"), slice_micros)
+    ordered = _with_previous_event(events.select("name", "kind", "ts_us", "seq"))
     done = (F.col("kind") == "end") & F.coalesce(F.col("prev.kind") == "start", F.lit(False))
     took = F.when(done, F.col("ts_us") - F.col("prev.ts_us"))
     return ordered.groupBy("name").agg(
