@@ -152,7 +152,7 @@ def label_transform(spark, sf_dir):
     )
 
 
-PIXELS = f"SELECT id, list_transform(x, lambda e: {BYTE.format('e')}) AS b FROM sample_vec"
+PIXELS = f"SELECT id, list_transform(x, lambda e: {BYTE.format('e')}) || [0, 0] AS b FROM sample_vec"
 
 
 @query(
@@ -160,13 +160,13 @@ PIXELS = f"SELECT id, list_transform(x, lambda e: {BYTE.format('e')}) AS b FROM
     with_views(
         f"""SELECT id, CAST(p AS INTEGER) AS i, gray, CAST(round(CAST(CAST(gray / CAST(255 AS DOUBLE) AS FLOAT) AS DOUBLE) * 1000000) AS BIGINT) AS x_e6
             FROM (SELECT id, p, (b[3 * p + 3] * 19595 + b[3 * p + 2] * 38470 + b[3 * p + 1] * 7471 + 32768) // 65536 AS gray
-                  FROM (SELECT id, b, unnest(range(0, 21)) AS p FROM ({PIXELS})))""",
+                  FROM (SELECT id, b, unnest(range(0, 22)) AS p FROM ({PIXELS})))""",
         "sample_vec",
     ),
 )
 def image_gray(spark, sf_dir):
-    """Vectors read as 1 x 21 images of three bytes per pixel."""
-    as_hex = F.transform(F.slice("x", 1, 63), lambda b: F.lpad(F.hex(b), 2, "0"))
+    """Vectors of 64 values read as 1 x 22 images of three bytes per pixel, the last one filled up with zeros."""
+    as_hex = F.transform(F.concat("x", F.array(F.lit(0), F.lit(0)).cast("array<int>")), lambda b: F.lpad(F.hex(b), 2, "0"))
     images = byte_vec(spark, sf_dir).select("id", F.unhex(F.array_join(as_hex, "")).alias("data"), F.lit(3).alias("n"))
     both = images.select(
         "id",
@@ -188,7 +188,7 @@ RANKED = """
     "softmax",
     with_views(
         f"""SELECT id, CAST(i AS INTEGER) AS i, {E6.format("e[i + 1] / list_sum(e)")} AS v_e6
-            FROM (SELECT *, unnest(range(0, 10)) AS i FROM ({EXPS}))""",
+            FROM (SELECT *, unnest(range(0, len(scores))) AS i FROM ({EXPS}))""",
         "scores",
     ),
 )
@@ -200,7 +200,7 @@ def softmax(spark, sf_dir):
     "log_softmax",
     with_views(
         f"""SELECT id, CAST(i AS INTEGER) AS i, {E6.format("ln(e[i + 1] / list_sum(e))")} AS v_e6
-            FROM (SELECT *, unnest(range(0, 10)) AS i FROM ({EXPS}))""",
+            FROM (SELECT *, unnest(range(0, len(scores))) AS i FROM ({EXPS}))""",
         "scores",
     ),
 )

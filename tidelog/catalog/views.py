@@ -96,10 +96,10 @@ def sample_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First ten components as class scores."""
+    """Components as class scores."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
-        F.slice("embedding", 1, 10).cast("array<double>").alias("scores"),
+        F.col("embedding").cast("array<double>").alias("scores"),
         F.col("label").alias("target"),
         F.col("embedding").alias("x"),
     )
@@ -234,7 +234,7 @@ VIEW_SQL = {
         SELECT "partition", start_offset, start_offset + "partition" AS end_offset FROM offsets""",
     "sample_vec": "SELECT vec_id AS id, embedding AS x, label AS y FROM embeddings",
     "scores": """
-        SELECT vec_id AS id, CAST(embedding[1:10] AS DOUBLE[]) AS scores, label AS target, embedding AS x
+        SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS scores, label AS target, embedding AS x
         FROM embeddings""",
     "keyed_lines": """
         SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey,
