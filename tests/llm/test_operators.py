@@ -284,7 +284,7 @@ def plain_passages(rows, min_words):
     units = []
     for key, text in rows:
         found, at = [], 0
-        for unit in re.split(r"\n+|(?<=[.!?,;:])\s+", (text or "").lower()):
+        for unit in re.split(r"\n+|(?<=[.!?])\s+", (text or "").lower()):
             if unit.split():
                 found.append((at, unit.split()))
                 at += len(unit.split())
@@ -293,7 +293,7 @@ def plain_passages(rows, min_words):
     def rank(k, place):
         key, text = rows[k]
         hashed = int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=8).digest(), "little", signed=True)
-        return (float("inf") if key is None else key, hashed, place)
+        return (float("inf"), hashed, place) if key is None else (key, 0, place)
 
     first = {}
     for k, found in enumerate(units):
