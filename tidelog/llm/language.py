@@ -19,9 +19,11 @@ from tidelog.llm.batches import slices
 from tidelog.llm.learning import Adam, fold, log_softmax, training_rows
 
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
-#: Bounds of the training sample.
-TRAINING_ROWS, TRAINING_WINDOWS = 4_000, 4
-EPOCHS, RATE, WINDOWS_A_STEP = 6, 0.01, 128
+#: Bounds of the training sample for each language: whole texts, and their bytes.
+TRAINING_ROWS, TRAINING_BYTES = 500, 1_000_000
+RATE, WINDOWS_A_STEP = 0.01, 128
+#: Windows seen in training, each at least 6 and at most 60 times.
+SEEN = 100_000
 WINDOWS_A_SLICE = 2_000
 
 
@@ -29,12 +31,10 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def cut(text: str, most: int | None = None) -> list[bytes]:
-    """Windows of a whole text, or at most `most` evenly spaced ones."""
+def cut(text: str) -> list[bytes]:
+    """Windows of a whole text."""
     data = text.encode()
-    starts = range(0, len(data), WINDOW)
-    step = -(-len(starts) // most) if most else 1
-    return [data[s : s + WINDOW] for s in starts[:: step or 1]]
+    return [data[s : s + WINDOW] for s in range(0, len(data), WINDOW)]
 
 
 def matrix(windows: list[bytes]) -> np.ndarray:
@@ -42,7 +42,8 @@ def matrix(windows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for w in windows), dtype=np.uint8).reshape(-1, WINDOW)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, classes: int, epochs: int = EPOCHS, seed: int = 1) -> dict:
+def train(windows: np.ndarray, labels: np.ndarray, classes: int, epochs: int | None = None, seed: int = 1) -> dict:
+    epochs = epochs or min(60, max(6, SEEN // len(labels)))
     random = np.random.default_rng(seed)
     model = {"embedding": random.normal(0, 0.5, (256, EMBEDDING)), "weights": random.normal(0, 0.1, (FILTERS * len(WIDTHS), classes)), "bias": np.zeros(classes)}
     model |= {f"filter{w}": random.normal(0, 0.3, (w, EMBEDDING, FILTERS)) for w in WIDTHS}
@@ -122,17 +123,9 @@ class Scorer:
 
 
 def fit(df: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[dict, list[str]] | None:
-    """Train on at most `rows` rows of `labels` (doc_id, label), with the texts of `df` (doc_id, text)."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 0):
-                found = [cut(t, TRAINING_WINDOWS) if t and has_letter(t) else [] for t in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.list_(pa.binary()))], names=["label", "windows"])
-
-    chosen = training_rows(df, labels, rows)
-    found = chosen.select("text", "label").mapInArrow(run, "label string, windows array<binary>").collect()  # bounded by rows and windows a row
-    pairs = sorted((r.label, bytes(w)) for r in found for w in r.windows)
+    """Train on at most `rows` rows for each label of `labels` (doc_id, label), with the whole texts of `df` (doc_id, text)."""
+    found = training_rows(df, labels, rows, TRAINING_BYTES).collect()  # bounded by rows and bytes for each language
+    pairs = sorted((r.label, w) for r in found if r.text and has_letter(r.text) for w in cut(r.text))
     if not pairs:
         return None
     names = sorted({a for a, _ in pairs})
@@ -142,7 +135,7 @@ def fit(df: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[di
 
 def identify(documents: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """Add held_out, lang_pred and score to `documents` (doc_id, text, lang, ...), learned outside the held-out fold."""
-    known = documents.where(F.col("lang").isNotNull() & (fold("doc_id", folds) != held)).select("doc_id", F.col("lang").alias("label")).distinct()
+    known = documents.where(F.col("lang").isNotNull() & (fold("doc_id", folds) != held)).select("doc_id", F.col("lang").alias("label"))
     fitted = fit(documents.select("doc_id", "text"), known)
     shared = documents.sparkSession.sparkContext.broadcast(fitted)
     kept = [c for c in documents.columns if c not in ("lang_pred", "score")]

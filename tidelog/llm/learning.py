@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of the whole texts that teach one label; the sample holds at most twice as many.
+TRAINING_BYTES = 8_000_000
+
 
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id counts as empty text."""
@@ -13,20 +16,23 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % parts
 
 
-def training_rows(df: DataFrame, labels: DataFrame, rows: int, values: list | None = None) -> DataFrame:
-    """Rows of `df` (doc_id, text) with their `label`, for at most `rows` labelled ids (of each of `values`, if given).
+def training_rows(df: DataFrame, labels: DataFrame, rows: int, most: int = TRAINING_BYTES, cost: Column | None = None) -> DataFrame:
+    """A bounded sample of whole texts of `df` (doc_id, text) for each label of `labels` (doc_id, label): label and text.
 
-    The ids of least hash are chosen, whatever their order in the table, by a narrow pass; the texts stay where they are.
+    Each label gets at most `rows` texts, those whose ids have the least hashes, and of these as many as come before a cost of `most` bytes is
+    reached (`cost`, by default the bytes of the text); a text that costs more alone teaches nothing. Texts are never cut. Rows stored again count
+    once. Ids are chosen by a narrow pass, each task passing on at most `rows` of a label.
     """
-
-    def least(some: DataFrame) -> DataFrame:
-        return some.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-
-    parts = [least(labels.where(F.col("label") == v)) for v in values] if values else [least(labels)]
-    chosen = parts[0]
-    for part in parts[1:]:
-        chosen = chosen.unionAll(part)
-    return df.join(F.broadcast(chosen), "doc_id")  # at most `rows` narrow rows for each value
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select("doc_id", "label").distinct()
+    chosen = known.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(*by_hash))).where(F.col("_n") <= rows).drop("_n")
+    # At most `rows` narrow rows for each label are broadcast; equal rows meet before they are shuffled.
+    met = df.join(F.broadcast(chosen), "doc_id").groupBy("label", "doc_id", F.xxhash64("text").alias("_hash")).agg(F.first("text").alias("text"))
+    order = Window.partitionBy("label").orderBy(*by_hash, "_hash")
+    first = met.withColumn("_cost", F.coalesce(F.octet_length("text") if cost is None else cost, F.lit(0)).cast("long")).where(F.col("_cost") <= most)
+    first = first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows)
+    before = F.coalesce(F.sum("_cost").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn("_before", before).where(F.col("_before") <= most).select("label", "text")
 
 
 def sigmoid(x):
@@ -55,14 +61,17 @@ class Adam:
             self.weights[k] -= self.rate * mean / (np.sqrt(square) + 1e-8)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn a raw value into a log-odds (one-dimensional logistic regression with a small ridge)."""
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[list[float], float]:
+    """Slopes and offset that turn rows of values into log-odds (logistic regression with a small ridge)."""
+    n, k = x.shape
     if len(set(y.tolist())) < 2:
-        return 0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    scale = float(np.abs(x).max()) or 1.0
-    design, beta = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
-    for _ in range(50):
+        return [0.0] * k, float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    scale = np.abs(x).max(axis=0)
+    scale[scale == 0] = 1
+    design, beta = np.column_stack([x / scale, np.ones(n)]), np.zeros(k + 1)
+    for _ in range(100):
         p = sigmoid(design @ beta)
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        beta += np.linalg.solve(hessian, design.T @ (y - p) - 1e-2 * beta)
-    return float(beta[0] / scale), float(beta[1])
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(k + 1)
+        step = np.linalg.solve(hessian, design.T @ (y - p) - 1e-2 * beta)
+        beta += step * min(1.0, 5 / max(float(np.abs(step).max()), 1e-12))
+    return (beta[:-1] / scale).tolist(), float(beta[-1])

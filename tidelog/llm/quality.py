@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from tidelog.llm.batches import slices, with_column
 from tidelog.llm.learning import Adam, fold, training_rows
 
-#: Bounds of the training sample: documents of each label, and adjacent lines of one document.
-TRAINING_ROWS, TRAINING_LINES = 2_500, 256
+#: Bounds of the training sample: documents of each label with their whole texts, and their bytes, with so many more for each line.
+TRAINING_ROWS, TRAINING_BYTES, LINE_BYTES = 2_500, 64_000_000, 300
 STEPS, RATE = 120, 0.05
 
 # Kinds of bytes: lower case, capital, digit, space, stop or comma, exclamation or question mark, bar, other sign, beyond ASCII.
@@ -88,12 +88,15 @@ def documents_lines(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np
 FEATURES = 3 * OWN + 3
 
 
-def chains(counts: np.ndarray, most: int = 400):
-    """Groups of documents of like length: their numbers and, padded to the longest, the line numbers and a mask."""
+def chains(counts: np.ndarray, most: int = 400, cells: int = 1 << 18):
+    """Groups of documents of like length: their numbers and, padded to the longest, the line numbers and a mask. A group has at most `cells` lines,
+    padding included, or a single document."""
     offsets = np.cumsum(counts) - counts
-    order = np.argsort(counts, kind="stable")
-    for at in range(0, len(order), most):
+    order, at = np.argsort(counts, kind="stable"), 0
+    while at < len(order):
         some = order[at : at + most]
+        some = some[: max(1, int((np.arange(1, len(some) + 1) * counts[some] <= cells).sum()))]
+        at += len(some)
         longest = counts[some].max()
         steps = np.arange(longest)[None]
         mask = steps < counts[some][:, None]
@@ -167,7 +170,7 @@ def score_texts(model: dict, texts: list[str | None]) -> np.ndarray:
 
 
 def fit(df: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> dict:
-    """Train on at most `rows` rows for each label of `labels` (doc_id, label), with the texts of `df` (doc_id, text)."""
+    """Train on at most `rows` rows for each label of `labels` (doc_id, label), with the whole texts of `df` (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -175,13 +178,13 @@ def fit(df: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> dict:
                 features, counts, _ = documents_lines(part.column(0).to_pylist())
                 out, at = [], 0
                 for n in counts:
-                    skip = max(0, (n - TRAINING_LINES) // 2)
-                    out.append(features[at + skip : at + skip + min(n, TRAINING_LINES)].astype("<f4").tobytes())
+                    out.append(features[at : at + n].astype("<f4").tobytes())
                     at += n
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(out, pa.binary())], names=["label", "lines"])
 
-    chosen = training_rows(df, labels, rows, [0, 1]).select("text", F.col("label").cast("int").alias("label"))
-    found = sorted((r.label, bytes(r.lines)) for r in chosen.mapInArrow(run, "label int, lines binary").collect())  # bounded by rows and lines a row
+    cost = F.octet_length("text") + LINE_BYTES * (1 + F.regexp_count("text", F.lit("\n")))
+    chosen = training_rows(df, labels.where(F.col("label").isin(0, 1)), rows, TRAINING_BYTES, cost).select("text", F.col("label").cast("int").alias("label"))
+    found = sorted((r.label, bytes(r.lines)) for r in chosen.mapInArrow(run, "label int, lines binary").collect())  # bounded by rows and bytes
     features = np.frombuffer(b"".join(x for _, x in found), dtype="<f4").reshape(-1, FEATURES).astype(float)
     counts = np.array([len(x) // (4 * FEATURES) for _, x in found], dtype=np.int64)
     return train(features, counts, np.array([y for y, _ in found], dtype=np.int64))

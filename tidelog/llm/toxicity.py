@@ -1,9 +1,11 @@
 """Toxicity: subword-bag embeddings, averaged, into a linear softmax; both are trained together.
 
 A word is the mean of the vectors of its character n-grams (and of itself), so a misspelling shares most of its vector with the known word.
-A window is the mean of `WINDOW` words; a document is as toxic as its `WORST` worst windows are in the mean, so that long texts do not thin out
-what they hold. With windows of one word no neighbour thins it out either: of the sizes from 1 to 16 that was the most accurate. For training,
-a document's label belongs to all its windows at first; in the second half, a toxic one's belongs to its worst windows only.
+A window is the mean of `WINDOW` words; a document is judged by its worst window, by the mean of its `WORST` worst ones, so that long texts do not
+thin out what they hold, and by its length, since the worst of many windows is worse by chance. With windows of one word no neighbour thins it out
+either: of the sizes from 1 to 16 that was the most accurate. For training, a document's label belongs to all its windows at first; in the second
+half, a toxic one's belongs to its worst windows only. Every fifth text is kept out of that and calibrates the three values; with fewer than ten
+texts of a label all texts do both.
 
 Every whole text gets a score: null and empty texts, and texts without words, that of an empty window. With no labelled rows every score is
 0.5; with labels of one kind only, the smoothed share of label 1. Repeated rows get equal scores. Null labels and ids teach nothing. Other
@@ -13,6 +15,7 @@ columns are kept; columns named like the outputs are replaced.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 
@@ -22,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.batches import slices, with_column
+from tidelog.llm.batches import with_column
 from tidelog.llm.learning import Adam, calibrate, fold, log_softmax, sigmoid, training_rows
 
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 17, 8, (4, 5, 6), 1
-#: Bounds of the training sample: documents of each label, and words of one document.
-TRAINING_ROWS, TRAINING_WORDS = 1_500, 1_000
+#: Bound of the training sample: documents of each label, with their whole texts (`learning.TRAINING_BYTES` bounds those).
+TRAINING_ROWS = 1_500
 RATE, TABLE_RATE, DECAY, DOCS_A_STEP = 0.01, 0.1, 0.0005, 64
 #: Documents seen in training, each at least 6 and at most 40 times. A document is judged by so many of its worst windows.
 SEEN, WORST = 16_000, 3
@@ -86,12 +89,29 @@ def forward(model: dict, sample: Sample, chosen: np.ndarray) -> tuple:
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed: int = 1) -> dict:
-    """Fit the table and the softmax; return the log-odds that each bucket adds, the offset, and the calibration of a document's worst windows.
+    """Fit the table and the softmax; return the log-odds that each bucket adds, the offset, and the calibration of a document's values.
 
     `labels` holds a 0 or 1 for each text.
     """
     if not len(labels):
-        return {"bucket": np.zeros(BUCKETS, np.float32), "bias": 0.0, "slope": 0.0, "offset": 0.0}
+        return {"bucket": np.zeros(BUCKETS, np.float32), "bias": 0.0, "slopes": [0.0] * 3, "offset": 0.0}
+    calibrates = np.zeros(len(labels), dtype=bool)
+    for label in (0, 1):
+        calibrates[np.flatnonzero(labels == label)[4::5]] = True
+    if np.bincount(labels, minlength=2).min() < 10:
+        model = network(texts, labels, epochs, seed)
+        calibrates[:] = True
+    else:
+        taught = np.flatnonzero(~calibrates)
+        model = network([texts[i] for i in taught], labels[taught], epochs, seed)
+    scorer = Scorer(model)
+    values = np.array([scorer.values(texts[i]) for i in np.flatnonzero(calibrates)])
+    slopes, offset = calibrate(values, labels[calibrates])
+    return model | {"slopes": slopes, "offset": offset}
+
+
+def network(texts: list[str], labels: np.ndarray, epochs: int | None, seed: int) -> dict:
+    """The log-odds that each bucket adds, and the offset."""
     epochs = epochs or min(40, max(6, SEEN // len(labels)))
     random = np.random.default_rng(seed)
     model = {
@@ -101,11 +121,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed:
     }
     sample = Sample(texts, labels)
     dense = Adam({k: model[k] for k in ("weights", "bias")}, RATE)
-    worst = np.zeros(len(labels))
     where = np.split(np.argsort(sample.of, kind="stable"), np.cumsum(np.bincount(sample.of, minlength=len(labels)))[:-1])
     docs = np.array([d for d, x in enumerate(where) if len(x)], dtype=np.int64)
     balance = len(labels) / max(1, labels.sum())
-    for epoch in range(epochs + 1):
+    for epoch in range(epochs):
         random.shuffle(docs)
         for at in range(0, len(docs), DOCS_A_STEP):
             chosen = np.concatenate([where[d] for d in docs[at : at + DOCS_A_STEP]])
@@ -116,11 +135,6 @@ def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed:
             rank = np.empty(len(doc), dtype=np.int64)
             rank[order] = np.arange(len(doc)) - np.repeat(begins, np.diff(np.append(begins, len(doc))))
             chief = rank < WORST
-            of = doc[chief]
-            some = np.unique(of)
-            worst[some] = (np.bincount(of, odds[chief], len(labels)) / np.maximum(np.bincount(of, minlength=len(labels)), 1))[some]
-            if epoch == epochs:  # the last pass only measures
-                continue
             y = labels[doc]
             weight = np.where(y == 1, balance, 1.0)
             if epoch >= epochs // 2:
@@ -135,10 +149,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, seed:
             touched, place = np.unique(rows, return_inverse=True)
             gradient = np.stack([np.bincount(place, by_gram[:, k], len(touched)) for k in range(WIDTH)], 1)
             model["table"][touched] -= TABLE_RATE * np.clip(gradient, -5, 5) + DECAY * model["table"][touched]
-    worst[np.bincount(sample.of, minlength=len(labels)) == 0] = float(model["bias"][1] - model["bias"][0])
-    slope, offset = calibrate(worst, labels)
     direction = model["weights"][:, 1] - model["weights"][:, 0]
-    return {"bucket": (model["table"] @ direction).astype(np.float32), "bias": float(model["bias"][1] - model["bias"][0]), "slope": slope, "offset": offset}
+    return {"bucket": (model["table"] @ direction).astype(np.float32), "bias": float(model["bias"][1] - model["bias"][0])}
 
 
 class Scorer:
@@ -152,7 +164,8 @@ class Scorer:
         found = [self.bucket[g] for g in grams(word)]
         return sum(found) / len(found)
 
-    def score(self, text: str | None) -> float:
+    def values(self, text: str | None) -> tuple[float, float, float]:
+        """Log-odds of the worst window, their mean over the `WORST` worst ones, and the logarithm of the number of words."""
         found, known = words(text), self.known
         if len(known) > CACHED_WORDS:
             known.clear()
@@ -164,30 +177,19 @@ class Scorer:
                 if len(w) < 100:
                     known[w] = value
             values.append(value)
-        odds = self.model["bias"]
-        if values:
-            if WINDOW > 1:
-                values = [sum(x) / len(x) for x in (values[s : s + WINDOW] for s in range(0, len(values), WINDOW))]
-            worst = heapq.nlargest(WORST, values)
-            odds += sum(worst) / len(worst)
-        return float(sigmoid(self.model["slope"] * odds + self.model["offset"]))
+        if WINDOW > 1:
+            values = [sum(x) / len(x) for x in (values[s : s + WINDOW] for s in range(0, len(values), WINDOW))]
+        worst, bias = heapq.nlargest(WORST, values) or [0.0], self.model["bias"]
+        return bias + worst[0], bias + sum(worst) / len(worst), math.log1p(len(found))
+
+    def score(self, text: str | None) -> float:
+        return float(sigmoid(sum(a * b for a, b in zip(self.model["slopes"], self.values(text), strict=True)) + self.model["offset"]))
 
 
 def fit(df: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> dict:
-    """Train on at most `rows` rows for each label of `labels` (doc_id, label), with the texts of `df` (doc_id, text)."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 0):
-                out = []
-                for text in part.column(0).to_pylist():
-                    w = words(text)
-                    skip = max(0, len(w) - TRAINING_WORDS) // 2
-                    out.append(" ".join(w[skip : skip + TRAINING_WORDS]))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(out, pa.string())], names=["label", "text"])
-
-    chosen = training_rows(df, labels, rows, [0, 1]).select("text", F.col("label").cast("int").alias("label"))
-    found = sorted((r.label, r.text) for r in chosen.mapInArrow(run, "label int, text string").collect())  # bounded by rows and words a row
+    """Train on at most `rows` rows for each label of `labels` (doc_id, label), with the whole texts of `df` (doc_id, text)."""
+    chosen = training_rows(df, labels.where(F.col("label").isin(0, 1)), rows)
+    found = sorted((int(r.label), r.text or "") for r in chosen.collect())  # bounded by rows and bytes
     return train([t for _, t in found], np.array([y for y, _ in found], dtype=np.int64))
 
 
