@@ -9,42 +9,107 @@ from tidelog.catalog.logs import JSON, in_plan
 from tidelog.catalog.registry import query, r6
 from tidelog.catalog.views import WORLD, plan_sql, with_views
 from tidelog.operators.assign import assign_rank, place_by_rank
+from tidelog.operators.network import Sgd, evaluate_network, train_network
 from tidelog.operators.timing import LoadConfig, batches_by_role, load_summary, run_load_experiment
-from tidelog.operators.train import final_test, map_workers, train
+from tidelog.operators.train import FeedForward, map_workers
 from tidelog.session import scratch_path
 from tidelog.sources.log import read_ranges
 from tidelog.streaming.ingest import ingest, stream_parquet
 from tidelog.streaming.timers import pair_timers_online, use_rocksdb
 from tidelog.streaming.windows import windowed_metrics
 
-LAYERS = [64, 32, 10]
+#: The network of the training queries and how it is trained.
+INPUTS, HIDDEN, CLASSES, SCALE = 64, 32, 10, 0.3
+EPOCHS, STEPS, RATE, MOMENTUM = 3, 2, 0.1, 0.9
 
 
 def role_vectors(spark, sf_dir):
     tenth = F.col("id") % 10
     role = F.when(tenth < 8, "train").when(tenth == 8, "val").otherwise("test")
-    return v.sample_vec(spark, sf_dir).select(role.alias("role"), "x", F.col("y").alias("label"))
-
-
-def in_range(metrics):
-    """Fitted values differ between machines; which values there are, and their ranges, do not."""
-    top = F.when(F.col("name") == "accuracy", 100.0).otherwise(float("inf"))
-    return metrics.select("phase", "epoch", "name", F.col("value").between(0.0, top).alias("in_range"))
-
-
-RANGE_SQL = """SELECT phase, epoch, name, TRUE AS in_range FROM (VALUES {}) AS p(phase, epochs), range(1, epochs + 1) AS e(epoch),
-               (VALUES ('accuracy'), ('loss')) AS n(name) WHERE (SELECT count(*) FROM embeddings) > 0"""
-
-
-@query("mlp_epochs", RANGE_SQL.format("('train', 3), ('val', 3), ('test', 1)"))
+    step = F.call_function("div", F.col("id"), F.lit(10)) % STEPS
+    return v.sample_vec(spark, sf_dir).select(role.alias("role"), step.cast("int").alias("step"), "x", F.col("y").alias("label"))
+
+
+#: Biases are the weights of an input and a hidden unit that are always one, numbered -1.
+NETWORK_SQL = {
+    "samples": f"""SELECT id, y, id // 10 % {STEPS} AS step, CASE WHEN id % 10 < 8 THEN 'train' WHEN id % 10 = 8 THEN 'val' ELSE 'test' END AS role
+                   FROM sample_vec""",
+    "inputs": """SELECT id, i, CAST(x[i + 1] AS DOUBLE) AS v FROM (SELECT id, x, unnest(range(0, len(x))) AS i FROM sample_vec)
+                 UNION ALL SELECT id, -1, 1 FROM sample_vec""",
+    "first_0": f"""SELECT i, j, CASE WHEN i < 0 THEN 0 ELSE {SCALE}::DOUBLE * sin(i * 0.7::DOUBLE + j * 1.3::DOUBLE) END AS w, 0::DOUBLE AS speed
+                   FROM range(-1, {INPUTS}) AS a(i), range(0, {HIDDEN}) AS b(j)""",
+    "second_0": f"""SELECT j, c, CASE WHEN j < 0 THEN 0 ELSE {SCALE}::DOUBLE * sin(j * 0.7::DOUBLE + c * 1.3::DOUBLE + 0.5::DOUBLE) END AS w, 0::DOUBLE AS speed
+                    FROM range(-1, {HIDDEN}) AS a(j), range(0, {CLASSES}) AS b(c)""",
+}
+
+
+def forward_sql(run: str, rows: str, update: int) -> dict[str, str]:
+    """Hidden values, class probabilities and outcomes of some rows under the weights after `update` updates."""
+    return {
+        f"hidden_{run}": f"""SELECT id, j, greatest(z, 0) AS h, z > 0 AS live FROM (
+                                 SELECT id, j, sum(v * w) AS z FROM inputs JOIN first_{update} USING (i) JOIN samples USING (id) WHERE {rows} GROUP BY id, j)
+                             UNION ALL SELECT id, -1, 1, FALSE FROM samples WHERE {rows}""",
+        f"out_{run}": f"""SELECT id, y, c, o, exp(o - top) / sum(exp(o - top)) OVER (PARTITION BY id) AS p FROM (
+                              SELECT id, c, o, max(o) OVER (PARTITION BY id) AS top FROM (
+                                  SELECT id, c, sum(h * w) AS o FROM hidden_{run} JOIN second_{update} USING (j) GROUP BY id, c))
+                          JOIN samples USING (id)""",
+        f"outcome_{run}": f"""SELECT id, -ln(max(p) FILTER (c = y)) AS loss, CASE WHEN arg_max(c, o) = any_value(y) THEN 100.0 ELSE 0.0 END AS hit
+                              FROM out_{run} GROUP BY id""",
+    }
+
+
+def update_sql(run: str, update: int) -> dict[str, str]:
+    """Weights after one more update, by the mean gradient of the rows of a run."""
+    speed, mean = f"{MOMENTUM}::DOUBLE * speed", f"(SELECT count(*) FROM outcome_{run})"
+    return {
+        f"second_{update + 1}": f"""SELECT j, c, w - {RATE}::DOUBLE * ({speed} + g) AS w, {speed} + g AS speed FROM second_{update} JOIN (
+                                        SELECT j, c, sum(h * (p - CAST(c = y AS INTEGER))) / {mean} AS g
+                                        FROM hidden_{run} JOIN out_{run} USING (id) GROUP BY j, c) USING (j, c)""",
+        f"back_{run}": f"""SELECT id, j, sum((p - CAST(c = y AS INTEGER)) * w) AS e FROM out_{run} JOIN second_{update} USING (c)
+                           JOIN hidden_{run} USING (id, j) WHERE live GROUP BY id, j""",
+        f"first_{update + 1}": f"""SELECT i, j, w - {RATE}::DOUBLE * ({speed} + coalesce(g, 0)) AS w, {speed} + coalesce(g, 0) AS speed
+                                   FROM first_{update} LEFT JOIN (SELECT i, j, sum(v * e) / {mean} AS g
+                                                                  FROM back_{run} JOIN inputs USING (id) GROUP BY i, j) USING (i, j)""",
+    }
+
+
+def metrics_sql(phase: str, epoch: int, runs: list[str]) -> str:
+    outcomes = " UNION ALL ".join(f"SELECT * FROM outcome_{run}" for run in runs)
+    return f"""SELECT '{phase}' AS phase, {epoch} AS epoch, unnest(['accuracy', 'loss']) AS name,
+                      unnest([round(avg(hit), 6), round(avg(loss), 6)]) AS value FROM ({outcomes}) HAVING count(*) > 0"""
+
+
+def training_sql() -> str:
+    """The whole training in SQL: each step reads the weights of the one before."""
+    views, found = dict(NETWORK_SQL), []
+    for epoch in range(1, EPOCHS + 1):
+        runs = []
+        for step in range(STEPS):
+            update = (epoch - 1) * STEPS + step
+            runs.append(f"train_{update}")
+            views |= forward_sql(runs[-1], f"role = 'train' AND step = {step}", update) | update_sql(runs[-1], update)
+        views |= forward_sql(f"val_{epoch}", "role = 'val'", epoch * STEPS)
+        found += [metrics_sql("train", epoch, runs), metrics_sql("val", epoch, [f"val_{epoch}"])]
+    views |= forward_sql("test", "role = 'test'", EPOCHS * STEPS)
+    return with_views(" UNION ALL ".join([*found, metrics_sql("test", 1, ["test"])]), "sample_vec", extra=views).replace(" AS (", " AS MATERIALIZED (")
+
+
+def network():
+    return FeedForward.waves(INPUTS, HIDDEN, CLASSES, SCALE)
+
+
+def rounded(metrics):
+    return metrics.select("phase", "epoch", "name", r6("value", "value"))
+
+
+@query("mlp_epochs", training_sql())
 def mlp_epochs(spark, sf_dir):
-    return in_range(train(role_vectors(spark, sf_dir), LAYERS, epochs=3).metrics)
+    return rounded(train_network(role_vectors(spark, sf_dir), network(), Sgd(RATE, MOMENTUM), EPOCHS).metrics)
 
 
-@query("test_eval", RANGE_SQL.format("('test', 1)"))
+@query("test_eval", with_views(metrics_sql("test", 1, ["test"]), "sample_vec", extra=NETWORK_SQL | forward_sql("test", "role = 'test'", 0)))
 def test_eval(spark, sf_dir):
-    samples = role_vectors(spark, sf_dir)
-    return in_range(final_test(train(samples, LAYERS, epochs=1, validate=False).model, samples))
+    return rounded(evaluate_network(network(), role_vectors(spark, sf_dir)))
 
 
 def _load_configs(spark, sf_dir):

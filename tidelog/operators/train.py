@@ -30,28 +30,32 @@ class FeedForward:
     b2: np.ndarray
 
     @classmethod
-    def waves(cls, inputs: int = 784, hidden: int = 128, classes: int = 10) -> "FeedForward":
+    def waves(cls, inputs: int = 784, hidden: int = 128, classes: int = 10, scale: float = 1.0) -> "FeedForward":
         """Repeatable weights from a sine rule, for checks without a trained model."""
 
         def matrix(rows: int, columns: int, phase: float) -> np.ndarray:
             i, j = np.meshgrid(np.arange(rows), np.arange(columns), indexing="ij")
-            return np.sin(i * 0.7 + j * 1.3 + phase)
+            return scale * np.sin(i * 0.7 + j * 1.3 + phase)
 
         return cls(matrix(inputs, hidden, 0.0), np.zeros(hidden), matrix(hidden, classes, 0.5), np.zeros(classes))
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def outputs(self, x: np.ndarray) -> np.ndarray:
+        """Outputs before the softmax."""
         hidden = np.maximum(x.astype(np.float64) @ self.w1 + self.b1, 0.0)
-        out = hidden @ self.w2 + self.b2
+        return hidden @ self.w2 + self.b2
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        out = self.outputs(x)
         out = np.exp(out - out.max(axis=1, keepdims=True))
         return out / out.sum(axis=1, keepdims=True)
 
 
-def score(x: Column, network: FeedForward, batch_size: int = 1024) -> Column:
-    """Class probabilities per row, computed per Arrow batch as one matrix product."""
+def score(x: Column, network: FeedForward, batch_size: int = 1024, raw: bool = False) -> Column:
+    """Class probabilities per row, or with `raw` the outputs before the softmax, computed per Arrow batch as one matrix product."""
     width = network.w1.shape[0]
 
     def make_predict():
-        return lambda inputs: network.scores(inputs)
+        return network.outputs if raw else network.scores
 
     udf = predict_batch_udf(
         make_predict,
