@@ -13,7 +13,7 @@ from tidelog.session import scratch_path
 from tidelog.sources.decode import dead_letter, decode
 from tidelog.sources.log import read_ranges
 from tidelog.streaming.ingest import ingest, stream_parquet
-from tidelog.streaming.timers import pair_timers_online, use_rocksdb
+from tidelog.streaming.timers import pair_timers_in_order, pair_timers_online, use_rocksdb
 from tidelog.streaming.windows import windowed_metrics
 
 PARTS = 3
@@ -76,6 +76,32 @@ def test_timers_equal_batch(spark, sf_dir, parts):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_shuffled_timers_equal_batch(spark, sf_dir, tmp_path):
+    use_rocksdb(spark)
+    events = v.timer_events(spark, sf_dir).select("name", "kind", "ts_us", "seq")
+    far = events.agg(F.lit(None).cast(events.schema["name"].dataType).alias("name"), F.lit("start").alias("kind"), (F.max("ts_us") + 10**15).alias("ts_us"), F.max("seq").alias("seq"))
+    for i in range(5):
+        append_file(events.where(F.pmod(F.xxhash64("seq", "ts_us"), F.lit(5)) == i), str(tmp_path), i)
+    append_file(far, str(tmp_path), 5)
+    shuffled = stream_parquet(spark, str(tmp_path), events.schema, files_per_trigger=1)
+    got, batches = drain(spark, pair_timers_in_order(shuffled, "3650 days", slice_ms=3_600_000))
+    assert batches == 6
+    want = pair_timers(events)[0].select(*got.columns)
+    assert want.count() > 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_events_after_the_watermark_are_dropped(spark, tmp_path):
+    use_rocksdb(spark)
+    schema = "name string, kind string, ts_us bigint, seq bigint"
+    files = ["('a', 'end', 5000000, 2), ('a', 'start', NULL, 9)", "('a', 'start', 2000000, 1)", "('b', 'start', 90000000, 3)", "('b', 'start', 90000000, 3)",
+             "('a', 'end', 6000000, 4), ('b', 'end', 95000000, 5)", "('c', 'start', 900000000, 6)"]
+    for i, values in enumerate(files):
+        append_file(spark.sql(f"SELECT * FROM VALUES {values} AS t(name, kind, ts_us, seq)").select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", "))]), str(tmp_path), i)
+    got, _ = drain(spark, pair_timers_in_order(stream_parquet(spark, str(tmp_path), schema, files_per_trigger=1), "10 seconds"))
+    assert sorted(map(tuple, got.collect())) == [("a", 2, 2000000, 5000000, 3000000), ("b", 5, 90000000, 95000000, 5000000)]
+
+
 def test_closed_windows_equal_batch(spark, sf_dir, parts):
     def metrics(df):
         return df.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"), "value")

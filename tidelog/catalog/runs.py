@@ -15,7 +15,7 @@ from tidelog.operators.train import FeedForward, map_workers
 from tidelog.session import scratch_path
 from tidelog.sources.log import read_ranges
 from tidelog.streaming.ingest import ingest, stream_parquet
-from tidelog.streaming.timers import pair_timers_online, use_rocksdb
+from tidelog.streaming.timers import pair_timers_in_order, pair_timers_online, use_rocksdb
 from tidelog.streaming.windows import windowed_metrics
 
 #: The network of the training queries and how it is trained.
@@ -220,6 +220,21 @@ def stream_timers(spark, sf_dir):
     return _drain(pairs, scratch_path(spark, "timers"), spark)
 
 
+@query(
+    "stream_timers_ordered",
+    with_views(
+        """SELECT * FROM timer_pairs
+           WHERE (end_us // 3600000000 + 1) * 3600000 <= (SELECT max(ts_us) // 1000 - 86400000 FROM timer_events)""",
+        "timer_pairs",
+    ),
+)
+def stream_timers_ordered(spark, sf_dir):
+    """Pairs whose hour had ended a day before the last event."""
+    use_rocksdb(spark)
+    pairs = pair_timers_in_order(v.timer_rows(_event_stream(spark, sf_dir)), "1 day", slice_ms=3_600_000)
+    return _drain(pairs, scratch_path(spark, "timers"), spark)
+
+
 @query(
     "stream_metrics",
     """SELECT epoch_us(date_trunc('day', ts)) AS window_us, event_type AS name, count(*) AS n, round(avg(value), 6) AS mean,

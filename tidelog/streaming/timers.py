@@ -54,27 +54,89 @@ class TimerPairs(StatefulProcessor):
         pass
 
 
+class OrderedTimerPairs(StatefulProcessor):
+    """Pairs in the order of (ts_us, seq), whatever the order of arrival: events wait in slices of time, and a slice is applied when the
+    watermark has passed its end. Memory holds one slice of one name, or one chunk of input; all else stays in the state store."""
+
+    def __init__(self, slice_ms: int):
+        self.slice_ms = slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start_us bigint")
+        self.parts = handle.getMapState("parts", "slice bigint", "n int")
+        self.waiting = handle.getMapState("waiting", "slice bigint, part int", "ts_us array<bigint>, seq array<bigint>, kind array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for chunk in rows:
+            for number, events in chunk.groupby(chunk["ts_us"] // (self.slice_ms * 1000)):
+                end = (int(number) + 1) * self.slice_ms
+                if end <= passed:
+                    continue
+                at = (int(number),)
+                part = self.parts.getValue(at)[0] if self.parts.containsKey(at) else 0
+                self.waiting.updateValue((*at, part), (events["ts_us"].tolist(), events["seq"].tolist(), events["kind"].tolist()))
+                self.parts.updateValue(at, (part + 1,))
+                self.handle.registerTimer(end)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = (expiredTimerInfo.getExpiryTimeInMs() // self.slice_ms - 1,)
+        events = []
+        for part in range(self.parts.getValue(at)[0]):
+            events.extend(zip(*self.waiting.getValue((*at, part))))
+            self.waiting.removeKey((*at, part))
+        self.parts.removeKey(at)
+        start = self.open.get()[0] if self.open.exists() else None
+        pairs = []
+        for ts_us, seq, kind in sorted(events):
+            if kind == "end" and start is not None:
+                pairs.append((key[0], seq, start, ts_us, ts_us - start))
+            start = ts_us if kind == "start" else None
+        if start is None:
+            self.open.clear()
+        else:
+            self.open.update((start,))
+        if pairs:
+            yield pd.DataFrame(pairs, columns=["name", "seq", "start_us", "end_us", "duration_us"])
+
+    def close(self) -> None:
+        pass
+
+
+def _pairs_schema(events: DataFrame) -> T.StructType:
+    longs = [T.StructField(name, T.LongType()) for name in ("seq", "start_us", "end_us", "duration_us")]
+    return T.StructType([T.StructField("name", events.schema["name"].dataType), *longs])
+
+
+def pair_timers_in_order(events: DataFrame, delay: str = "10 minutes", slice_ms: int = 1000) -> DataFrame:
+    """Streaming form of timer pairing for events that arrive in any order, up to `delay` late.
+
+    A pair comes out once the watermark has passed the end of its slice of time, so the last `delay` of a stream waits for later events.
+    Events older than the watermark are dropped, and so are rows without a time. The session must use the RocksDB state store; see `use_rocksdb`.
+    """
+    ts_us = F.col("ts_us").cast("bigint")
+    timed = events.select("name", "kind", ts_us.alias("ts_us"), F.col("seq").cast("bigint").alias("seq"), F.timestamp_micros(ts_us).alias("at"))
+    return (
+        timed.where(F.col("ts_us").isNotNull())
+        .withWatermark("at", delay)
+        .groupBy("name")
+        .transformWithStateInPandas(OrderedTimerPairs(slice_ms), _pairs_schema(events), outputMode="Append", timeMode="EventTime")
+    )
+
+
 def pair_timers_online(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Streaming form of timer pairing. The session must use the RocksDB state store; see `use_rocksdb`.
 
     `ttl_ms` drops starts that never end. It puts the operator in processing-time mode, in which Spark schedules empty
     batches for as long as the query runs: use it with a periodic trigger, since an `availableNow` run would not finish.
     """
-    name_type = events.schema["name"].dataType
-    out = T.StructType(
-        [
-            T.StructField("name", name_type),
-            T.StructField("seq", T.LongType()),
-            T.StructField("start_us", T.LongType()),
-            T.StructField("end_us", T.LongType()),
-            T.StructField("duration_us", T.LongType()),
-        ]
-    )
     return (
         events.select("name", "kind", F.col("ts_us").cast("bigint"), F.col("seq").cast("bigint"))
         .groupBy("name")
         .transformWithStateInPandas(
-            TimerPairs(ttl_ms), out, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
+            TimerPairs(ttl_ms), _pairs_schema(events), outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
         )
     )
 
