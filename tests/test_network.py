@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.operators.mergeable import CalibrationError, MacroF1, evaluate_mergeable
 from tidelog.operators.network import Adam, Sgd, evaluate_network, flat, total_sums, train_network
 from tidelog.operators.train import FeedForward
 from tidelog.session import local_table
@@ -161,3 +162,24 @@ def test_broken_samples_are_errors(spark, bad):
     df = samples(spark, 10)[1].withColumn(name, F.expr(value).cast(dict(c.split(" ") for c in SCHEMA.split(", "))[name]))
     with pytest.raises(Exception, match="a sample needs 4 values"):
         train_network(df, START)
+
+
+def test_mergeable_metrics_by_group_and_in_a_tree(spark):
+    drawn = np.random.default_rng(5)
+    scores, label = drawn.normal(size=(300, 3)), drawn.integers(0, 3, 300)
+    group = [None if i % 7 == 0 else "hot" if i % 3 else "rare" for i in range(300)]
+    rows = [(group[i], scores[i].tolist(), int(label[i])) for i in range(300)] + [("hot", None, 1), ("rare", [1.0, 2.0, 3.0], None)]
+    df = spark.createDataFrame(rows, "part string, scores array<double>, label int").repartition(9)
+    asked = {"f1": MacroF1(3), "calibration": CalibrationError(5)}
+    for fan_in in (2, 64):
+        found = {(r["part"], r["name"]): r["value"] for r in evaluate_mergeable(df, asked, ["part"], fan_in=fan_in).collect()}
+        assert len(found) == 6
+        for part in (None, "hot", "rare"):
+            at = [i for i in range(300) if group[i] == part]
+            for name, metric in asked.items():
+                assert found[part, name] == pytest.approx(metric.finish(metric.update(metric.init(), scores[at], label[at])))
+    whole = {r["name"]: r["value"] for r in evaluate_mergeable(df, asked).collect()}
+    guess = scores.argmax(axis=1)
+    f1 = [2 * ((guess == c) & (label == c)).sum() / ((guess == c).sum() + (label == c).sum()) for c in range(3)]
+    assert whole["f1"] == pytest.approx(np.mean(f1))
+    assert evaluate_mergeable(df.limit(0), asked).count() == 0

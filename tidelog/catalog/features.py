@@ -9,6 +9,7 @@ from tidelog.catalog.registry import joined, query, r6
 from tidelog.catalog.views import with_views
 from tidelog.functions import scores as sc
 from tidelog.functions import vectors as vec
+from tidelog.operators.mergeable import CalibrationError, MacroF1, evaluate_mergeable
 from tidelog.operators.train import FeedForward, prediction_grid, score
 from tidelog.schemas import Payload
 from tidelog.sources.decode import decode
@@ -274,3 +275,27 @@ def ff_score(spark, sf_dir):
     network = FeedForward.waves(inputs=64)
     scored = v.sample_vec(spark, sf_dir).select("id", score(F.col("x"), network).alias("p"))
     return elements(scored, "p", "p_e6").withColumnRenamed("i", "c")
+
+
+@query(
+    "metric_mergeable",
+    with_views(
+        """SELECT part, 'macro F1' AS name, round(avg(2.0 * n_right / (guessed + asked)), 6) AS value FROM (
+               SELECT part, c, sum(g) AS guessed, sum(a) AS asked, sum(r) AS n_right FROM (
+                   SELECT part, guess AS c, 1 AS g, 0 AS a, CAST(guess = target AS INTEGER) AS r FROM told
+                   UNION ALL SELECT part, target, 0, 1, 0 FROM told) GROUP BY part, c) GROUP BY part
+           UNION ALL
+           SELECT part, 'calibration', round(sum(gap) / sum(n), 6) FROM (
+               SELECT part, count(*) AS n, abs(sum(sure) - count(*) FILTER (guess = target)) AS gap FROM told
+               GROUP BY part, least(floor(sure * 10), 9)) GROUP BY part""",
+        "scores",
+        extra={
+            "told": """SELECT id % 4 AS part, target, list_position(scores, list_max(scores)) - 1 AS guess,
+                              1 / list_sum(list_transform(scores, lambda e: exp(e - list_max(scores)))) AS sure FROM scores"""
+        },
+    ),
+)
+def metric_mergeable(spark, sf_dir):
+    scored = v.scores(spark, sf_dir).withColumn("part", F.col("id") % 4)
+    found = evaluate_mergeable(scored, {"macro F1": MacroF1(64), "calibration": CalibrationError()}, ["part"], label="target")
+    return found.select("part", "name", r6("value", "value"))
