@@ -1,5 +1,6 @@
 """Streams over several micro-batches against the batch operators."""
 
+import json
 import os
 import time
 
@@ -102,6 +103,31 @@ def test_events_after_the_watermark_are_dropped(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("a", 2, 2000000, 5000000, 3000000), ("b", 5, 90000000, 95000000, 5000000)]
 
 
+def test_waiting_events_take_one_state_row_a_slice(spark, tmp_path):
+    use_rocksdb(spark)
+    n = 300
+    rows = spark.range(n).select(F.lit("a").alias("name"), F.when(F.col("id") % 2 == 0, "start").otherwise("end").alias("kind"), (F.col("id") * 1_000_000).alias("ts_us"), F.col("id").alias("seq"))
+    append_file(rows, str(tmp_path), 0)
+    append_file(rows.where("seq < 1").withColumn("ts_us", F.lit(10**10)), str(tmp_path), 1)
+    running = (
+        pair_timers_in_order(stream_parquet(spark, str(tmp_path), rows.schema, files_per_trigger=1), "10 seconds")
+        .writeStream.format("memory").queryName("waiting").trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    assert max(sum(op["numRowsTotal"] for op in json.loads(p.json)["stateOperators"]) for p in running.recentProgress) <= n + 2
+    assert spark.table("waiting").agg(F.count("name"), F.sum("duration_us")).first()[:] == (n // 2, n // 2 * 1_000_000)
+
+
+def test_events_of_open_slices_are_kept(spark, tmp_path):
+    use_rocksdb(spark)
+    files = ["('a', 'start', 61000000, 1), ('b', 'start', 90000000, 2)", "('b', 'end', 91000000, 3)", "('a', 'end', 70000000, 4)", "('a', 'end', 200000000, 5), ('c', 'start', 900000000, 6)"]
+    for i, values in enumerate(files):
+        append_file(spark.sql(f"SELECT name, kind, CAST(ts_us AS BIGINT) AS ts_us, CAST(seq AS BIGINT) AS seq FROM VALUES {values} AS t(name, kind, ts_us, seq)"), str(tmp_path), i)
+    arriving = stream_parquet(spark, str(tmp_path), "name string, kind string, ts_us bigint, seq bigint", files_per_trigger=1)
+    got, _ = drain(spark, pair_timers_in_order(arriving, "10 seconds", slice_ms=60_000))
+    assert sorted(map(tuple, got.collect())) == [("a", 4, 61000000, 70000000, 9000000), ("b", 3, 90000000, 91000000, 1000000)]
+
+
 def test_closed_windows_equal_batch(spark, sf_dir, parts):
     def metrics(df):
         return df.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"), "value")
