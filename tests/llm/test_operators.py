@@ -560,3 +560,27 @@ def test_one_row_of_each_near_group_stays(spark):
 
 def test_run_returns_packed_pieces(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_piece_is_encoded_once_whatever_stands_beside_it():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    vocabulary = bpe.Vocabulary(catalog.vocabulary("byte_bpe_50k.tiktoken"))
+    encoder = bpe.Encoder(vocabulary, public_tokenizers.PATTERN)
+    words = bpe.WordEncoder(encoder.encode_words, encoder.encode_bytes)
+    seen, encode = [], vocabulary.encode_pieces
+    vocabulary.encode_pieces = lambda pieces: seen.extend(pieces) or encode(pieces)
+    texts = ["a wordly word", "a wordly, word", "a (wordly word."]
+    got = [words.encode([t])[0] for t in texts]
+    assert seen.count(" wordly") == 1 and seen.count(" word") == 1
+    assert got == [bpe.Encoder(bpe.Vocabulary(catalog.vocabulary("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN).encode_bytes(t) for t in texts]
+
+
+def test_piece_cache_is_bounded(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 8)
+    vocabulary = bpe.Vocabulary(catalog.vocabulary("byte_bpe_50k.tiktoken"))
+    encoder = bpe.Encoder(vocabulary, public_tokenizers.PATTERN)
+    for i in range(50):
+        text = f"w{i} some more {'x' * 200}{i} words"
+        assert b"".join(vocabulary.bytes_of[k] for k in encoder.encode(text)) == text.encode()
+        assert len(encoder._known) < 20 and max(map(len, encoder._known)) <= bpe.SHORT_BYTES

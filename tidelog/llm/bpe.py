@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from tidelog.llm.batches import with_column
 
 CACHED_WORDS = 200_000
+CACHED_PIECES = 200_000
 WORDS_A_CALL = 50_000
 SHORT_BYTES = 100
 
@@ -37,7 +38,10 @@ class Vocabulary:
         self._edges: dict[int, tuple[tuple, tuple]] = {}
         # Judged pairs by their first token; tokens are few, and so are those that can follow one in text.
         self._pairs: dict[int, dict[int, bool]] = defaultdict(dict)
-        self._sizes = [2, 3, 4, 1, *range(5, self.longest + 1)]
+        # By the size of the last token of the prefix one byte shorter: sizes of the next last token, likely ones first. A short token tends to grow.
+        self._sizes = [[*dict.fromkeys(([t + 1, 1] if t < 3 else [1, t + 1]) + [*range(2, self.longest + 1)])] for t in range(self.longest)]
+        self._sizes.append([*range(1, self.longest + 1)])
+        self._packed_ids = {rank: (rank.to_bytes(4, "little"), len(token)) for rank, token in self.bytes_of.items()}
 
     def halves(self, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
@@ -111,10 +115,11 @@ class Vocabulary:
         out: dict[str, bytes] = {}
         last: list[int] = []
         before = b""
-        get, pairs, sizes = self.ranks.get, self._pairs, self._sizes
+        get, pairs, sizes, packed_ids = self.ranks.get, self._pairs, self._sizes, self._packed_ids
         for piece in sorted(pieces):
             data = piece.encode()
-            shared, limit = 0, min(len(data), len(before))
+            length = len(data)
+            shared, limit = 0, min(length, len(before))
             while shared < limit:
                 middle = (shared + limit + 1) // 2
                 if data[shared:middle] == before[shared:middle]:
@@ -122,11 +127,15 @@ class Vocabulary:
                 else:
                     limit = middle - 1
             del last[shared:]
-            for end in range(shared + 1, len(data) + 1):
+            size = packed_ids[last[-1]][1] if shared else 0
+            for end in range(shared + 1, length + 1):
                 # The valid token is unique, so likely sizes come first.
-                for size in sizes:
+                for size in sizes[size]:
+                    if size > end:
+                        continue
                     start = end - size
-                    if start < 0 or (token := get(data[start:end])) is None:
+                    token = get(data[start:end])
+                    if token is None:
                         continue
                     if start:
                         apart = pairs[last[start - 1]].get(token)
@@ -137,19 +146,18 @@ class Vocabulary:
                     last.append(token)
                     break
             # Only last tokens are kept of each prefix, so that memory is linear in the longest piece.
-            out[piece] = np.array(self.tokens(last), "<i4").tobytes() if len(data) > SHORT_BYTES else self._packed(last)
+            if length > SHORT_BYTES:
+                out[piece] = np.array(self.tokens(last), "<i4").tobytes()
+            else:
+                found, end = b"", length
+                while end:
+                    ids, size = packed_ids[last[end - 1]]
+                    found = ids + found
+                    end -= size
+                out[piece] = found
             before = data
         return out
 
-    def _packed(self, last: list[int]) -> bytes:
-        """Ids of a short piece."""
-        found, end, bytes_of = b"", len(last), self.bytes_of
-        while end:
-            token = last[end - 1]
-            found = token.to_bytes(4, "little") + found
-            end -= len(bytes_of[token])
-        return found
-
 
 class WordEncoder:
     """Texts to ids, word by word. Words between single spaces are encoded once, many together, and then looked up.
@@ -171,7 +179,7 @@ class WordEncoder:
         for words in split:
             if words:
                 fresh.update(words[1:])
-        fresh.difference_update(known)
+        fresh = fresh.difference(known)
         # A space beside other white space or at the end belongs to no word: such words are never learnt, and their texts go as a whole.
         loose = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace()}
         for i, words in enumerate(split):
@@ -204,21 +212,34 @@ class Encoder:
 
         self.vocabulary = vocabulary
         self.split = regex.compile(pattern).findall
+        # Words differ by the marks around them more than by their pieces. Bounded; the pieces met first are the frequent ones.
+        self._known: dict[str, bytes] = {}
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        known = self._known
+        if len(known) > CACHED_PIECES:
+            for piece in list(known)[CACHED_PIECES // 4 :]:
+                del known[piece]
+        fresh = set(pieces).difference(known)
+        known.update(self.vocabulary.encode_pieces(fresh))
+        out = list(map(known.__getitem__, pieces))
+        for piece in fresh:
+            if len(piece) > SHORT_BYTES:
+                del known[piece]
+        return out
 
     def encode_bytes(self, text: str) -> bytes:
-        pieces = self.split(text)
-        return b"".join(map(self.vocabulary.encode_pieces(set(pieces)).__getitem__, pieces))
+        return b"".join(self._encoded(self.split(text)))
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word with a space before it. Only a word's first piece starts with a space."""
         pieces = self.split(" " + " ".join(words))
-        table = self.vocabulary.encode_pieces(set(pieces))
         out: list[bytes] = []
-        for piece in pieces:
+        for piece, ids in zip(pieces, self._encoded(pieces), strict=True):
             if piece[0] == " ":
-                out.append(table[piece])
+                out.append(ids)
             else:
-                out[-1] += table[piece]
+                out[-1] += ids
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -298,13 +319,18 @@ def decode_documents(df: DataFrame, path: str, ids: str = "ids", decoded: str =
     """Add the bytes that the ids stand for. Null ids decode to no bytes; an id outside the vocabulary is an error."""
 
     def setup():
-        table = Vocabulary(path).bytes_of
+        bytes_of = Vocabulary(path).bytes_of
+        table = pa.array([bytes_of.get(rank) for rank in range(max(bytes_of) + 1)], pa.binary())
 
         def make(rows: pa.Array) -> pa.Array:
             rows = rows.fill_null([])
-            tokens = list(map(table.__getitem__, rows.flatten().to_pylist()))
-            ends = np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-            return pa.array([b"".join(tokens[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.binary())
+            tokens = table.take(rows.flatten())
+            if tokens.null_count:
+                raise KeyError("an id that the vocabulary does not have")
+            # The bytes of a row's tokens lie side by side.
+            ends = np.cumsum([0, *rows.value_lengths().to_numpy(zero_copy_only=False)])
+            starts = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset :][ends] if len(tokens) else np.zeros(len(ends), np.int32)
+            return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(starts.astype(np.int32)), tokens.buffers()[2] or pa.py_buffer(b"")])
 
         return make
 
