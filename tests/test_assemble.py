@@ -174,3 +174,11 @@ def test_hash_buckets_follow_the_order(spark):
     df = spark.range(2000).select(asm.digest(F.col("id")).alias("h")).withColumn("b", hash_bucket("h", 2))
     rows = df.orderBy("h").collect()
     assert [r["b"] for r in rows] == sorted(r["b"] for r in rows)
+
+
+def test_rows_travel_once_and_without_digests(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("sample_key"))
+    rows = plan_text(asm.shuffled_positions(df, "sample_key", seed=7)).split("BroadcastExchange")[0]
+    above, exchange, below = rows.partition("Exchange ")
+    assert exchange and "Exchange " not in below
+    assert "md5" in above and "md5" not in below.split("\n", 1)[1]

@@ -36,8 +36,8 @@ def shuffle_key(key: str, seed: int, epoch: int = 0) -> Column:
 
 def shuffled_positions(df: DataFrame, key: str, seed: int, epoch: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Add `pos`, a repeatable uniform random order; a new epoch gives a new order."""
-    hashed = df.withColumn("_h", shuffle_key(key, seed, epoch))
-    return with_position(hashed, list(keys), ["_h", key], hash_bucket("_h")).drop("_h")
+    hashed = shuffle_key(key, seed, epoch)
+    return with_position(df, list(keys), [hashed, key], hash_bucket(hashed))
 
 
 def role_positions(
@@ -48,29 +48,24 @@ def role_positions(
     A table has no row order of its own, so the fixed order is the digest of the row key. It buckets evenly
     however the keys are distributed. Logs have offsets: see `log_positions`.
     """
-    fixed = digest(F.col(key))
-    ordered = df.withColumn(
-        "_h", F.when(F.col("role") == "train", shuffle_key(key, seed, epoch)).otherwise(fixed)
-    )
-    return with_position(ordered, list(keys), ["_h", key], hash_bucket("_h")).drop("_h")
+    hashed = F.when(F.col("role") == "train", shuffle_key(key, seed, epoch)).otherwise(digest(F.col(key)))
+    return with_position(df, list(keys), [hashed, key], hash_bucket(hashed))
 
 
 def log_positions(df: DataFrame, seed: int = SAMPLER_SEED, epoch: int = 0) -> DataFrame:
     """Add `pos` per role and rank of log samples: train in random order, the others in offset order."""
     train = F.col("role") == "train"
     copy = F.col("copy") if "copy" in df.columns else F.lit(0)
-    hashed = df.withColumn(
-        "_h", F.when(train, digest(seed, epoch, F.col("partition"), F.col("offset"), copy))
-    )
+    hashed = F.when(train, digest(seed, epoch, F.col("partition"), F.col("offset"), copy))
     # Copies from the fill-up follow the originals, as they are appended to them.
-    bucket = F.when(train, hash_bucket("_h")).otherwise(
+    bucket = F.when(train, hash_bucket(hashed)).otherwise(
         F.concat_ws(
             ":",
             F.lpad(copy.cast("string"), 19, "0"),
             F.lpad(chunk_bucket("offset").cast("string"), 19, "0"),
         )
     )
-    return with_position(hashed, ["role", "rank"], ["_h", copy, "offset"], bucket).drop("_h")
+    return with_position(df, ["role", "rank"], [hashed, copy, "offset"], bucket)
 
 
 def shard(df: DataFrame, world_size: int, drop_last: Column) -> DataFrame:

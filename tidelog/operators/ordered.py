@@ -50,11 +50,11 @@ def with_position(
 ) -> DataFrame:
     """Add the dense 0-based position of each row within `keys`, and the group's row count.
 
-    Rows are shuffled once, by (keys, bucket); the running counts hold one row per bucket.
+    Rows are shuffled once, by (keys, bucket); the running counts hold one row per bucket. `bucket` and `order` may be expressions: they are
+    evaluated on both sides of the shuffle and do not travel with the rows.
     """
-    tagged = df.withColumn("_bucket", bucket)
     cells = [*keys, "_bucket"]
-    counts = tagged.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.withColumn("_bucket", bucket).groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(
         *cells,
@@ -62,9 +62,10 @@ def with_position(
         F.sum("_n").over(Window.partitionBy(*keys)).alias(total),
     )
     inside = Window.partitionBy(*cells).orderBy(*order)
-    numbered = tagged.withColumn("_in_bucket", F.row_number().over(inside))
+    numbered = df.repartition(*keys, bucket).withColumn("_bucket", bucket).withColumn("_in_bucket", F.row_number().over(inside))
     return (
-        _joined(numbered, bases, cells)
+        # Without keys the buckets are chained by one task, so they are few enough for a broadcast; the numbered rows need not move again.
+        _joined(numbered, bases if keys else F.broadcast(bases), cells)
         .withColumn(name, F.col("_base") + F.col("_in_bucket") - 1)
         .drop("_bucket", "_base", "_in_bucket")
     )
