@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from test_operators import LINES, ODD, docs
 
 from tidelog.llm import audit, suffixes, turns
+from tidelog.llm.exchange import unplanes
 
 # 11: bytes
 
@@ -49,6 +50,50 @@ def test_bytes_on_odd_rows(spark):
     assert suffixes.deduplicate(docs(spark, [])).count() == 0
 
 
+def sent_to_buckets(monkeypatch):
+    """Lists that get, from each call to come, the rows that slices send to buckets and the segments in them."""
+    rows, segments = [], []
+    meet = suffixes.meet
+
+    def noted(df, key, then, work, *more):
+        found = meet(df, key, then, work, *more)
+        if work.__name__ == "send":
+            sizes = [len(unplanes(r.b)) for r in found.select("b").collect()]
+            rows.append(len(sizes))
+            segments.append(sum(sizes))
+        return found
+
+    monkeypatch.setattr(suffixes, "meet", noted)
+    return rows, segments
+
+
+def test_rows_do_not_grow_as_slices_times_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_ANCHORS", 64)
+    monkeypatch.setattr(suffixes, "RUNS", 2, raising=False)
+    monkeypatch.setattr(suffixes, "BUCKETS_BITS", 2, raising=False)
+    sent, _ = sent_to_buckets(monkeypatch)
+    draw = random.Random(13)
+    source = "".join(draw.choice("abcdefé") for _ in range(4000))
+    rows = [(draw.choice([i, i, 4, None]), "".join(draw.choice("xyz") + source[(a := draw.randrange(3900)) : a + draw.randint(1, 100)] for _ in range(8))) for i in range(160)]
+    assert found_bytes(docs(spark, rows).coalesce(1), length=8, gram=3, slice_bytes=600) == plain_bytes(rows, 8)
+    # A row for each slice and each bucket that it holds anchors of would be 14,743.
+    assert sent[0] < 2000
+
+
+@pytest.mark.parametrize("single", [1 << 17, 12, 1])
+def test_segments_of_frequent_anchors_travel_in_pieces(spark, monkeypatch, single):
+    monkeypatch.setattr(suffixes, "SPREAD", 1)
+    monkeypatch.setattr(suffixes, "SINGLE", single, raising=False)
+    _, segments = sent_to_buckets(monkeypatch)
+    draw = random.Random(17)
+    lines = ["".join(draw.choice("abcdé") for _ in range(draw.randint(20, 90))) for _ in range(4)]
+    rows = [(draw.choice([i, i, 4, None]), "".join(draw.choice(["", "q"]) + draw.choice("xyzw") * draw.randint(0, 2) + draw.choice(lines)[draw.choice([0, 0, 3]) :] for _ in range(3))) for i in range(60)]
+    assert found_bytes(docs(spark, rows), length=24, gram=4, slice_bytes=700) == plain_bytes(rows, 24)
+    if single > 12:
+        strings = sum(max(0, len(t.encode()) - 23) for _, t in rows)
+        assert segments[0] < strings / 3
+
+
 # 12: filters
 
 
