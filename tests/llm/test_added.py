@@ -76,7 +76,7 @@ def test_rows_do_not_grow_as_slices_times_buckets(spark, monkeypatch):
     source = "".join(draw.choice("abcdefé") for _ in range(4000))
     rows = [(draw.choice([i, i, 4, None]), "".join(draw.choice("xyz") + source[(a := draw.randrange(3900)) : a + draw.randint(1, 100)] for _ in range(8))) for i in range(160)]
     assert found_bytes(docs(spark, rows).coalesce(1), length=8, gram=3, slice_bytes=600) == plain_bytes(rows, 8)
-    # A row for each slice and each bucket that it holds anchors of would be 14,743.
+    # A row for each slice and each bucket that it holds anchors of would be 14,736.
     assert sent[0] < 2000
 
 
